@@ -21,7 +21,9 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,54 +155,66 @@ def _long_words(path: str):
 
 
 def _weave(dictionary):
-    """Puts the ids of encoded words, from a broadcast dictionary, where a document's codes are negative."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoded = dictionary.value
-        for pdf in batches:
-            out = []
-            for codes, words in zip(pdf["codes"], pdf["unknown"], strict=True):
-                if len(words):
-                    known = [encoded[w] for w in words]
-                    ids: list[int] = []
-                    add, many = ids.append, ids.extend
-                    for c in codes.tolist():
-                        if c >= 0:
-                            add(c)
-                        else:
-                            many(known[-c - 1])
-                    out.append(ids)
-                else:
-                    out.append(codes)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": out})
+    """Puts the ids of encoded words in the places where a document's codes are NULL, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, starts, flat = dictionary.value
+        number = {w: i for i, w in enumerate(words)}
+        for batch in batches:
+            codes, unknown = batch.column("codes"), batch.column("unknown")
+            values, offsets = codes.flatten(), np.asarray(codes.offsets) - codes.offsets[0].as_py()
+            empty = np.asarray(values.is_null())
+            coded = unknown.flatten().dictionary_encode()
+            known = np.array([number[w] for w in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)] if len(coded) else np.array([], np.int64)
+            sizes = np.ones(len(values), np.int64)
+            sizes[empty] = starts[known + 1] - starts[known]
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            source = np.arange(begin[-1])
+            out = np.repeat(values.fill_null(0).to_numpy(zero_copy_only=False), sizes)
+            inside = np.repeat(empty, sizes)
+            shift = np.repeat(starts[known] - begin[:-1][empty], sizes[empty])
+            out[inside] = flat[source[inside] + shift]
+            ids = pa.ListArray.from_arrays(pa.array(begin[offsets], pa.int32()), pa.array(out, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return run
 
 
+def _weave_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for rows that bring the ids of their own words along."""
+    for pdf in batches:
+        out = []
+        for codes, unknown, words, ids in zip(*[pdf[c] for c in ("codes", "unknown", "word", "ids")], strict=True):
+            own = dict(zip(words, ids, strict=True)) if words is not None else {}
+            spelled = iter(unknown)
+            out.append([i for c in codes for i in ((int(c),) if c == c and c is not None else own[next(spelled)])])
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": out})
+
+
 def encode_corpus(docs: DataFrame, path: str | None = None, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): the ids of the text without special tokens, whose strings are
     ordinary text; an empty list for NULL and empty texts. Repeated doc_ids give as many rows."""
     path = path or byte_bpe_50k()
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))
-    mapped = docs.select("doc_id", words.alias("w")).select("doc_id", F.transform("w", lambda w: _let(_look(_word_map(path), w), lambda i: F.struct(i.alias("i"), F.when(i.isNull(), w).alias("w")))).alias("x"))
-    coded = mapped.select("doc_id", "x", F.array_distinct(F.transform(F.filter("x", lambda e: e["i"].isNull()), lambda e: e["w"])).alias("unknown"))
-    coded = settle(coded.select("doc_id", F.transform("x", lambda e: F.coalesce(e["i"], -F.array_position("unknown", e["w"]).cast("int"))).alias("codes"), "unknown"))
-    distinct = coded.select(F.explode("unknown").alias("word")).groupBy("word").agg(F.octet_length("word").alias("bytes"))
+    coded = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.transform("w", lambda w: _look(_word_map(path), w)).alias("codes"))
+    coded = settle(coded.select("doc_id", "codes", F.filter("w", lambda _, i: F.get(F.col("codes"), i).isNull()).alias("unknown")))
+    distinct = coded.select(F.explode(F.array_distinct("unknown")).alias("word")).groupBy("word").agg(F.octet_length("word").alias("bytes"))
     short = distinct.where(F.col("bytes") <= FOLD_BYTES).select("word", fold_merges(F.col("word"), path).alias("ids"))
     long_ = distinct.where(F.col("bytes") > FOLD_BYTES).select("word").mapInPandas(_long_words(path), "word string, ids array<int>")
     encoded = settle(short.unionByName(long_))
     if encoded.count() <= dictionary_words:
-        found = spark.sparkContext.broadcast({w: ids for w, ids in zip(*[encoded.toPandas()[c] for c in ("word", "ids")], strict=True)})
-        return coded.mapInPandas(_weave(found), "doc_id bigint, ids array<int>")
+        held = encoded.toArrow()
+        lists = held.column("ids").combine_chunks()
+        found = spark.sparkContext.broadcast((held.column("word").to_pylist(), np.asarray(lists.offsets).astype(np.int64), lists.flatten().to_numpy()))
+        return coded.mapInArrow(_weave(found), "doc_id bigint, ids array<int>")
     # beyond: by word and back by row; a word of a third of all documents is split by salt
     rows = coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "codes", "unknown")
     rows = settle(rows)
-    asked = rows.select("row", F.posexplode("unknown").alias("pos", "word")).withColumn("salt", F.pmod("row", F.lit(16)))
+    asked = rows.select("row", F.explode(F.array_distinct("unknown")).alias("word")).withColumn("salt", F.pmod("row", F.lit(16)))
     copies = encoded.select("word", "ids", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(16)])).alias("salt"))
-    back = asked.join(copies, ["word", "salt"]).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("known"))
-    woven = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("known"), -c - 1))))
-    return rows.join(back, "row", "left").select("doc_id", woven.alias("ids"))
+    back = asked.join(copies, ["word", "salt"]).groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("known"))
+    return rows.join(back, "row", "left").select("doc_id", "codes", "unknown", "known.word", "known.ids").mapInPandas(_weave_rows, "doc_id bigint, ids array<int>")
 
 
 @cache

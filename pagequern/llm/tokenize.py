@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pagequern.session import settle, table
 
 TOKENIZER_DIR = os.environ.get("PAGEQUERN_TOKENIZERS", "/opt/tokenizers")
-FOLD_BYTES = 256
+FOLD_BYTES = 40
 DICTIONARY_WORDS = 1_000_000
 BUCKETS = 8192
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.llm import chunking, leakage, repeated_lines, tokenize
+from pagequern.llm import chunking, leakage, repeated_lines, tokenize, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (repeated_lines, chunking, tokenize, leakage):
+for _m in (repeated_lines, chunking, tokenize, leakage, truncation):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

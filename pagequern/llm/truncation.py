@@ -26,7 +26,7 @@ ORDERS = (2, 3, 4, 5, 6)
 #: Besides these, two contexts of shape and the last three characters without the kind of line.
 CONTEXTS = len(ORDERS) + 3
 #: The table has 2**TABLE_BITS slots for each context length, whatever the corpus.
-TABLE_BITS = 24
+TABLE_BITS = 23
 #: Tokens of a line's start whose shape is looked up as a whole.
 SHAPE_TOKENS = 12
 #: Weight, in sightings, of the next shorter context's share when a longer one is added.
@@ -38,7 +38,7 @@ MIN_SEEN = 12
 THRESHOLD, AT_LIMIT = -3.5, -1.6
 NEAR, LIMIT_CUTS, LIMIT_SHARE = 12, 5, 0.25
 #: Characters of a text's end that are looked at besides its last line's start.
-TAIL = 3000
+TAIL = 200
 
 _MARK = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:…|\.\.\.|\+|\+ ?\d+ \w+|more|truncated|cut|continued)\]|\((?:…|\.\.\.|more|truncated|cut|continued|continues)\)|(?:Read|Show|See) more|Continue reading|\[truncated\]))+\s*$", re.I)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
@@ -206,7 +206,7 @@ def _counts(sent):
                 if t:
                     group.append(t)
                     held += len(t)
-                if group and (held > 1_000_000 or k + 1 == len(texts)):
+                if group and (held > 300_000 or k + 1 == len(texts)):
                     slots, ends = _slots(group, _short(group))
                     for row in slots:
                         hit = np.flatnonzero((row >= 0) & maybe[row])

@@ -1,6 +1,6 @@
 """Template residue and error-page text (problem 4): message templates from a fixed-depth prefix tree.
 
-Every line is masked (numbers, ids, hosts, paths, names) and falls into the leaf of a tree of fixed depth:
+Every line is masked (numbers, ids, hosts, paths; in the tree the names of longer lines too) and falls into the leaf of a tree of fixed depth:
 its number of tokens, then its first three tokens. A leaf's template is what its least and greatest masked
 lines have in common, found by one map-side combined aggregation. Templates are classified once: a lexicon
 names messages that stand instead of content; templates that hardly ever occur without such a message are
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequern.session import measured_join, table
+from pagequern.session import measured_join, settle, table
 
 DEPTH = 3
 #: A companion occurs in at least so many records, and in this share of them with a message.
@@ -80,33 +80,38 @@ def _masked(line: Column) -> Column:
     return F.regexp_replace(out, r"\d+", "<n>")
 
 
-def _leaf(masked: Column) -> Column:
-    tokens = F.split(F.lower(masked), r"\s+")
-    names = F.split(masked, r"\s+")
-    first = F.transform(F.slice(names, 1, DEPTH), lambda t, i: F.when((i > 0) & t.rlike("^[A-Z][a-z]+$"), F.lit("<name>")).otherwise(F.lower(t)))
+def _leaf(tokens: Column) -> Column:
+    first = F.transform(F.slice(tokens, 1, DEPTH), lambda t, i: F.when((i > 0) & (F.size(tokens) > 5) & t.rlike("^[A-Z][a-z]+$"), F.lit("<name>")).otherwise(F.lower(t)))
     return F.xxhash64(F.size(tokens), F.array_join(first, " "))
 
 
 def record_lines(records: DataFrame) -> DataFrame:
-    """(id, pos, line, masked, leaf) of the non-blank lines outside code blocks of records (id, text)."""
+    """(id, masked, leaf, content) of the non-blank lines outside code blocks of records (id, text); written
+    once. masked is in lower case; content says that the line is a sentence, not a title or the page's frame."""
     bare = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)^\s*```[^\n]*\n(?:(?!\s*```)[^\n]*\n)*?\s*```[^\n]*$", "```")
-    lines = records.where(F.length(F.trim("text")) > 0).select("id", F.posexplode(F.split(bare, "\n")).alias("pos", "line"))
-    masked = lines.where(F.trim("line") != "").select("id", "pos", "line", _masked(F.col("line")).alias("masked"))
-    return masked.select("id", "pos", "line", "masked", _leaf(F.col("masked")).alias("leaf"))
+    bare = F.when(F.instr("text", "```") > 0, bare).otherwise(F.replace("text", F.lit("\r"), F.lit("\n")))
+    lines = records.select("id", F.posexplode(F.split(bare, "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    masked = lines.select("id", "pos", "line", _masked(F.col("line")).alias("masked")).select("*", F.split("masked", r"\s+").alias("tokens"))
+    sentence = (F.length("line") >= SENTENCE_CHARS) | (F.size("tokens") >= SENTENCE_TOKENS) | F.col("line").rlike(r"[\u3040-\u9FFF]{6}")
+    title = (F.col("pos") <= 1) & ~F.trim("line").rlike(r"[.!?。…:]$") & (F.size("tokens") <= 12)
+    frame = (F.length("line") < 80) & F.lower("masked").rlike(f"^{_FRAME}$")
+    return settle(masked.select("id", F.lower("masked").alias("masked"), _leaf(F.col("tokens")).alias("leaf"), (sentence & ~title & ~frame).alias("content")))
 
 
 def message_templates(lines: DataFrame) -> DataFrame:
     """(leaf, template, lines): a template is what the leaf's least and greatest masked lines share."""
-    ends = lines.groupBy("leaf").agg(F.min(F.lower("masked")).alias("a"), F.max(F.lower("masked")).alias("b"), F.count("*").alias("lines"))
+    ends = lines.groupBy("leaf").agg(F.min("masked").alias("a"), F.max("masked").alias("b"), F.count("*").alias("lines"))
     shared = F.zip_with(F.split("a", r"\s+"), F.split("b", r"\s+"), lambda x, y: F.when(x == y, x).otherwise("<*>"))
-    return ends.select("leaf", F.array_join(shared, " ").alias("template"), "lines")
+    return ends.select("leaf", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.array_join(shared, " ")).alias("template"), "lines")
 
 
 def _is_message(text: Column) -> Column:
+    """No message is longer than 460 characters; only made-up Latin may be."""
     plain = ~text.rlike("[“”\"`«»「」]") | text.rlike(r"^[{<]")
     words = F.filter(F.split(F.regexp_replace(text, "[^a-z ]", ""), " +"), lambda w: w != "")
     latin = F.size(F.filter(words, lambda w: w.isin(_LATIN.split())))
-    return (plain & text.rlike("^(?:" + "|".join(_MESSAGES) + ")$")) | ((F.size(words) >= 4) & (latin * 2 >= F.size(words)))
+    filler = F.when(text.rlike(r"\b(?:" + "|".join(_LATIN.split()) + r")\b"), (F.size(words) >= 4) & (latin * 2 >= F.size(words))).otherwise(F.lit(False))
+    return F.when(F.length(text) <= 460, plain & text.rlike("^(?:" + "|".join(_MESSAGES) + ")$")).otherwise(F.lit(False)) | filler
 
 
 def slot_shown(text: Column) -> Column:
@@ -128,15 +133,11 @@ def residue_records(records: DataFrame) -> DataFrame:
     """
     lines = record_lines(records)
     templates = message_templates(lines)
-    judged = templates.withColumn("message", _is_message(F.col("template")))
-    messages = judged.where("message").select("leaf", F.lit(True).alias("message"))
-    frame = F.lower("masked").rlike(f"^{_FRAME}$")
-    sentence = (F.length("line") >= SENTENCE_CHARS) | (F.size(F.split(F.trim("line"), r"\s+")) >= SENTENCE_TOKENS) | F.col("line").rlike(r"[぀-鿿]{6}")
-    title = (F.col("pos") <= 1) & ~F.trim("line").rlike(r"[.!?。…:]$") & (F.size(F.split(F.trim("line"), r"\s+")) <= 12)
-    marked = measured_join(lines.select("id", "leaf", "masked", "line", "pos"), messages, ["leaf"], "left")
-    # a leaf whose ends differ can still hold messages: those are judged by their own line
-    own = F.coalesce(F.col("message"), F.lit(False)) | _is_message(F.lower("masked"))
-    flags = marked.select("id", "leaf", own.alias("message"), (sentence & ~title & ~frame & ~own).alias("content"))
+    messages = templates.where(_is_message(F.col("template"))).select("leaf", F.lit(True).alias("message"))
+    messages = settle(messages)
+    marked = measured_join(lines.select("id", "leaf", "content"), messages, ["leaf"], "left")
+    own = F.coalesce("message", F.lit(False))
+    flags = marked.select("id", "leaf", own.alias("message"), (F.col("content") & ~own).alias("content"))
     by_record = flags.groupBy("id").agg(F.bool_or("message").alias("has"), F.collect_set(F.when(F.col("content"), F.col("leaf"))).alias("own"))
     some = by_record.select("id", "has", F.explode("own").alias("leaf"))
     companions = some.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("has").alias("with")).where((F.col("n") >= COMPANION_RECORDS) & (F.col("with") >= COMPANION_SHARE * F.col("n"))).select("leaf")

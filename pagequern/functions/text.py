@@ -31,7 +31,7 @@ def lines_of(text: Column) -> Column:
 
 def dedupe_lines(text: Column) -> Column:
     """Trimmed lines, each once, in their first order, without empty ones."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")), "\n")
+    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")), "\n")
 
 
 def preview(text: Column, chars: int = PREVIEW_BYTES, lines: int = PREVIEW_LINES) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.plans import page_queries, snapshot_queries
+from pagequern.plans import page_queries, snapshot_queries, text_queries
 
-_MODULES = [page_queries, snapshot_queries]
+_MODULES = [page_queries, text_queries, snapshot_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -43,9 +43,11 @@ def sorted_query(query: Column) -> Column:
     pairs = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda x: x != "")
     named = F.transform(
         pairs,
-        lambda x: F.struct(
-            _coded(F.substring_index(x, "=", 1)).alias("k"),
-            F.when(F.instr(x, "=") > 0, _coded(F.substring(x, F.instr(x, "=") + 1, F.length(x)))).otherwise("").alias("v"),
+        lambda x: F.named_struct(
+            F.lit("k"),
+            _coded(F.substring_index(x, "=", 1)),
+            F.lit("v"),
+            F.when(F.instr(x, "=") > 0, _coded(F.substring(x, F.instr(x, "=") + 1, F.length(x)))).otherwise(""),
         ),
     )
     kept = F.array_sort(F.filter(named, lambda x: ~F.lower(x["k"]).isin(TRACKING)))

@@ -44,7 +44,7 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pag
 def frontier_order(items: DataFrame, strategy: str = "bfs") -> DataFrame:
     """items (seed, url, depth, seq) with turn, the order in which a strategy takes those of one seed."""
     score = best_first_score(F.col("url"), F.col("depth"))
-    keys = {"bfs": [F.col("seq")], "dfs": [F.desc("depth"), F.desc("seq")], "best-first": [F.desc(score), F.col("seq")]}[strategy]
+    keys = {"bfs": [F.col("seq")], "dfs": [F.desc("depth"), F.desc("seq")], "best-first": [F.desc(score), F.col("seq"), F.col("url")]}[strategy]
     return items.withColumn("turn", F.row_number().over(W.partitionBy("seed").orderBy(*keys)))
 
 

@@ -198,7 +198,7 @@ SELECT *, CASE WHEN status IN ('running', 'paused') AND staleness NOT IN ('stale
     "storage_stats": "SELECT CASE WHEN k LIKE '%html%' THEN '.html' WHEN k LIKE '%json%' THEN '.json' WHEN k LIKE '%markdown%' THEN '.md' WHEN k LIKE '%pdf%' THEN '.pdf' WHEN k LIKE 'text/%' THEN '.txt' ELSE '.bin' END AS extension, substr(sha256(text), 1, 1) AS shard, count(*) AS files, sum(strlen(text)) AS bytes FROM (SELECT text, lower(trim(string_split(content_type, ';')[1])) AS k FROM scrapes WHERE text IS NOT NULL) GROUP BY ALL",
     "batch_summary": f"WITH {KEYED.replace('FROM snapshots', 'FROM scrapes')}, k AS (SELECT site, coalesce(url_key, '') AS k, count(*) AS asked, max(status_code) AS status FROM keyed GROUP BY ALL) SELECT site, sum(asked) AS requests, count(*) AS fetched, sum(asked - 1) AS cache_hits, count(*) FILTER (status >= 400) AS failed, count(*) FILTER (status IN (408, 425, 429, 500, 502, 503, 504)) AS retryable FROM k GROUP BY site",
     "frontier_admit": f"{_EDGE} SELECT src, count(DISTINCT dst) AS admitted FROM e WHERE dhost = shost AND NOT contains(dst, '-adapter-') GROUP BY src",
-    "best_first": f"{_EDGE}, s AS (SELECT *, regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM e) SELECT src AS seed, dst AS url, pos AS seq, row_number() OVER (PARTITION BY src ORDER BY {_BF} DESC, pos) AS turn FROM s",
+    "best_first": f"{_EDGE}, s AS (SELECT *, regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM e) SELECT src AS seed, dst AS url, pos AS seq, row_number() OVER (PARTITION BY src ORDER BY {_BF} DESC, pos, dst) AS turn FROM s",
     "crawl_bfs": f"""{_EDGE}, sm AS (SELECT * FROM (VALUES ('a', 0, NULL), ('b', 1, 'a'), ('c', 1, 'a'), ('d', 2, 'b'), ('e', 3, 'd')) t(url, depth, parent)), seeds AS (SELECT DISTINCT src AS url FROM e)
 SELECT 'small' AS graph, url, depth, parent FROM sm UNION ALL SELECT 'links', CAST((SELECT count(*) FROM seeds) AS VARCHAR), 0, NULL UNION ALL SELECT 'links', CAST(n AS VARCHAR), 1, NULL FROM (SELECT count(DISTINCT dst) AS n FROM e WHERE dst NOT IN (SELECT url FROM seeds)) WHERE n > 0""",
     "redirects": """WITH RECURSIVE h(url, target) AS (VALUES ('a','b'),('b','c'),('x','y'),('y','x'),('s','s'),('n0','n1'),('n1','n2'),('n2','n3'),('n3','n4'),('n4','n5'),('n5','n6'),('n6','n7'),('n7','n8'),('n8','n9')),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -52,18 +54,28 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagequern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a settled table whose consumers have all run."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for name in df.inputFiles()[:1]:
-        path = hadoop(name).getParent()
-        if path.getName().startswith("pagequern-"):
-            with contextlib.suppress(Exception):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_settled: list[str] = []
+
+
+def forget_settled(spark: SparkSession) -> None:
+    """Delete all tables settled so far; call it when no plan that reads them will run again."""
+    jvm = spark.sparkContext._jvm
+    for path in _settled:
+        with contextlib.suppress(Exception):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _settled.clear()
+
+
+@atexit.register
+def _sweep() -> None:
+    """Settled tables on a local or mounted shared folder go when the driver ends."""
+    for path in _settled:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def measured_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -93,7 +105,6 @@ def ship_package(spark: SparkSession) -> None:
     if id(context) in _shipped:
         return
     _shipped.add(id(context))
-    import shutil
     from pathlib import Path
 
     here = Path(__file__).resolve().parent

@@ -9,8 +9,6 @@ the one before. Only for the keys that differ are the full values read, by row i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +21,6 @@ from pagequern.session import key128
 #: Compact rows (about 60 bytes) in a bucket.
 BUCKET_ROWS = 250_000
 
-_COMPACT = "d int, id bigint, k1 bigint, k2 bigint, p bigint, n bigint, l bigint"
 _CHANGES = "id bigint, d int, change string"
 
 
@@ -36,8 +33,8 @@ def _diff_bucket(low: int, high: int):
         key = np.empty(len(order), np.int64)
         key[order] = np.cumsum(new)
         d, ids = pdf["d"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
-        null = {c: pdf[c].isna().to_numpy() for c in "pnl"}
-        value = {c: pdf[c].fillna(0).to_numpy(np.int64) for c in "pnl"}
+        known = {c: pdf[f"{c}_known"].to_numpy(bool) for c in "pn"}
+        value = {c: pdf[c].to_numpy(np.int64) for c in "pnl"}
         at = {}
         for x in range(low, high + 1):
             rows = np.flatnonzero(d == x)
@@ -54,15 +51,14 @@ def _diff_bucket(low: int, high: int):
             gone[where[met]] = False
             out += [(ids[b[~met]], x, "added"), (ids[a[gone]], x, "removed")]
             i, j = a[where[met]], b[met]
-            unknown = null["p"][i] | null["p"][j]
-            by_hash = ~null["n"][i] & ~null["n"][j] & (value["n"][i] != value["n"][j])
-            differs = np.where(unknown, by_hash, value["p"][i] != value["p"][j]) | (value["l"][i] != value["l"][j])
+            by_hash = known["n"][i] & known["n"][j] & (value["n"][i] != value["n"][j])
+            differs = np.where(known["p"][i] & known["p"][j], value["p"][i] != value["p"][j], by_hash) | (value["l"][i] != value["l"][j])
             out.append((ids[j[differs]], x, "changed"))
         return pd.DataFrame(
             {
                 "id": np.concatenate([o[0] for o in out]) if out else np.array([], np.int64),
                 "d": np.concatenate([np.full(len(o[0]), o[1], np.int32) for o in out]) if out else np.array([], np.int32),
-                "change": [o[2] for o in out for _ in range(len(o[0]))],
+                "change": np.array([o[2] for o in out for _ in range(len(o[0]))], dtype=object),
             }
         )
 
@@ -81,7 +77,10 @@ def snapshot_changes(rows: DataFrame, *, row_id: str, delivery: str, taken: Colu
     compact = rows.where(F.col(delivery).isNotNull()).select(
         F.col(delivery).cast("int").alias("d"), k1.alias("k1"), k2.alias("k2"), F.struct(taken.alias("t"), F.col(row_id).cast("bigint").alias("id"), parts.alias("p"), parts_hash.alias("n"), links.alias("l")).alias("r")
     )
-    last = compact.groupBy("d", "k1", "k2").agg(F.max("r").alias("r")).select("d", "r.id", "k1", "k2", "r.p", "r.n", "r.l")
+    # no NULL reaches pandas, where it would turn 64-bit hashes into floats
+    last = compact.groupBy("d", "k1", "k2").agg(F.max("r").alias("r")).select(
+        "d", "r.id", "k1", "k2", F.coalesce("r.p", F.lit(0)).alias("p"), F.col("r.p").isNotNull().alias("p_known"), F.coalesce("r.n", F.lit(0)).alias("n"), F.col("r.n").isNotNull().alias("n_known"), F.coalesce("r.l", F.lit(0)).alias("l")
+    )
     low, high, count = rows.agg(F.min(delivery), F.max(delivery), F.count(F.lit(1))).first()
     if low is None:
         return rows.sparkSession.createDataFrame([], _CHANGES)

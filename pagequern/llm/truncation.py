@@ -41,7 +41,9 @@ NEAR, LIMIT_CUTS, LIMIT_SHARE = 12, 5, 0.25
 TAIL = 200
 
 _MARK = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:…|\.\.\.|\+|\+ ?\d+ \w+|more|truncated|cut|continued)\]|\((?:…|\.\.\.|more|truncated|cut|continued|continues)\)|(?:Read|Show|See) more|Continue reading|\[truncated\]))+\s*$", re.I)
-_FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
+#: An end that closes a sentence, other than a number's point: no cut, whatever comes before it.
+_CLOSED = re.compile(r"(?:[^\d\s.]|\w{4,})[.!?。？！][\"'”’»)\]]*$")
+_FENCE = re.compile(r"^[ \t]*(```|~~~)[ \t]*(\S*)", re.M)
 _M, _GOLD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -169,26 +171,37 @@ def _short(texts: list[str]) -> np.ndarray:
     return np.array([len(t) <= 60 and "\n" not in t for t in texts], bool)
 
 
+def _open_fence(text: str) -> bool:
+    """Whether the text ends inside a fenced code block: a block closes with its own kind of fence, and a
+    fence that names a language opens one."""
+    inside = ""
+    for m in _FENCE.finditer(text):
+        kind = m.group(1)
+        inside = kind if m.group(2) else "" if inside == kind else inside or kind
+    return bool(inside)
+
+
 def _tail(text: str) -> str:
     """The last lines, with an opening fence before them if they start inside a code block."""
     start = text.rfind("\n", 0, max(0, len(text) - TAIL)) + 1
-    return ("```\n" if len(_FENCE.findall(text, 0, start)) % 2 else "") + text[start:]
+    return ("```\n" if _open_fence(text[:start]) else "") + text[start:]
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id"), [strip_mark(t or "") for t in batch.column("text").to_pylist()]
         marked = [bool(t) and len(s) < len(t.rstrip()) for s, t in zip(texts, batch.column("text").to_pylist(), strict=True)]
-        fence = [len(_FENCE.findall(t)) % 2 == 1 for t in texts]
+        fence = [_open_fence(t) for t in texts]
         broken = [(t or "").rstrip().endswith("�") for t in batch.column("text").to_pylist()]
+        closed = [not m and bool(_CLOSED.search(t, max(0, len(t) - 40))) for t, m in zip(texts, marked, strict=True)]
         cut = [_tail(t) for t in texts]
         slots, ends = _slots(cut, _short(texts))
         sizes = np.array([len(t) + 1 for t in cut], np.int64)
         last = np.maximum(np.cumsum(sizes) - 1, 0)
         rows = slots[:, last].T.copy()
         yield pa.RecordBatch.from_arrays(
-            [ids, batch.column("h"), batch.column("lang"), batch.column("source"), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), CONTEXTS).cast(pa.list_(pa.int32())), pa.array(fence), pa.array(broken), pa.array(marked), pa.array(_short(texts)), pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int32())],
-            names=["doc_id", "h", "lang", "source", "slots", "fence", "broken", "marked", "short", "chars"],
+            [ids, batch.column("h"), batch.column("lang"), batch.column("source"), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), CONTEXTS).cast(pa.list_(pa.int32())), pa.array(fence), pa.array(broken), pa.array(marked), pa.array(closed), pa.array(_short(texts)), pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int32())],
+            names=["doc_id", "h", "lang", "source", "slots", "fence", "broken", "marked", "closed", "short", "chars"],
         )
 
 
@@ -253,9 +266,9 @@ def _scores(sent):
 
 
 def end_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, score, fence, broken, marked, short) of docs (doc_id, text, lang, source)."""
+    """(doc_id, lang, source, score, fence, broken, marked, closed, short) of docs (doc_id, text, lang, source)."""
     spark = docs.sparkSession
-    tails = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", "text").mapInArrow(_tails, "doc_id bigint, h bigint, lang string, source string, slots array<int>, fence boolean, broken boolean, marked boolean, short boolean, chars int")
+    tails = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", "text").mapInArrow(_tails, "doc_id bigint, h bigint, lang string, source string, slots array<int>, fence boolean, broken boolean, marked boolean, closed boolean, short boolean, chars int")
     tails = settle(tails)
     asked = np.sort(tails.where("not short").select(F.explode("slots").alias("s")).where("s >= 0").distinct().toArrow().column("s").to_numpy())
     counted = docs.select("text").where(F.length("text") > 0).mapInArrow(_counts(spark.sparkContext.broadcast(asked)), "slot int, ends bigint, goes_on bigint")
@@ -263,7 +276,7 @@ def end_scores(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(tuple(model.column(c).to_numpy() for c in ("slot", "ends", "goes_on")))
     copies = tails.groupBy("h").agg(F.count("*").alias("copies"))
     joined = tails.join(copies, "h")
-    return joined.select("doc_id", "lang", "source", "slots", "fence", "broken", "marked", "short", "chars", "copies").mapInPandas(_scores(sent), "doc_id bigint, lang string, source string, fence boolean, broken boolean, marked boolean, short boolean, chars int, copies bigint, score double")
+    return joined.select("doc_id", "lang", "source", "slots", "fence", "broken", "marked", "closed", "short", "chars", "copies").mapInPandas(_scores(sent), "doc_id bigint, lang string, source string, fence boolean, broken boolean, marked boolean, closed boolean, short boolean, chars int, copies bigint, score double")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -272,14 +285,14 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     NULL, empty and blank texts are never cut. NULL languages and sources form groups of their own.
     """
     scores = settle(end_scores(docs))
-    sure = ~F.col("short") & (F.col("fence") | F.col("broken") | (F.col("score") < THRESHOLD))
+    sure = ~F.col("short") & (F.col("fence") | F.col("broken") | (~F.col("closed") & (F.col("score") < THRESHOLD)))
     bands = scores.where(sure).groupBy("lang", "source", F.floor(F.col("chars") / NEAR).alias("band")).agg(F.count("*").alias("n"), F.max("chars").alias("limit"))
     best = bands.groupBy("lang", "source").agg(F.max(F.struct("n", "limit")).alias("m"), F.sum("n").alias("all"))
     limits = best.where((F.col("m.n") >= LIMIT_CUTS) & (F.col("m.n") >= LIMIT_SHARE * F.col("all"))).select(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_"), F.col("m.limit").alias("limit"))
     keyed = scores.withColumns({"lang_": F.coalesce("lang", F.lit("")), "source_": F.coalesce("source", F.lit(""))})
     known = measured_join(keyed, limits, ["lang_", "source_"], "left").drop("lang_", "source_")
     near = F.coalesce(F.abs(F.col("chars") - F.col("limit")) <= NEAR, F.lit(False))
-    return known.withColumn("cut", sure | (~F.col("short") & near & (F.col("score") < AT_LIMIT)))
+    return known.withColumn("cut", sure | (~F.col("short") & near & ~F.col("closed") & (F.col("score") < AT_LIMIT)))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:

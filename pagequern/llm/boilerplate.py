@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pagequern.session import measured_join, settle, table
 
 #: At most so many labelled rows are used for training.
-LABELLED_ROWS = 6000
+LABELLED_ROWS = 7000
 DEPTH, LEAF = 9, 6
 
 _CONTAINERS = {"div", "section", "article", "main", "aside", "nav", "header", "footer", "td", "form"}
@@ -37,8 +37,8 @@ _WORDS = re.compile(r"\w+")
 _NAME = re.compile(r"(?<=\S )[A-Z][a-z]+")
 _KEEP = re.compile(r"[^\W_]+")
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "row", "code", "sentence", "colon", "marks", "place", "from_title", "rel", "rel_before", "rel_after", "has_html", "slug", "share", "sites"]
-_LINES = "page_id bigint, line_no int, s bigint, g bigint, " + ", ".join(f"{f} float" for f in FEATURES[:-2])
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "row", "code", "sentence", "colon", "marks", "place", "from_title", "rel", "rel_before", "rel_after", "has_html", "slug", "share", "sites", "focus"]
+_LINES = "page_id bigint, line_no int, s bigint, g bigint, " + ", ".join(f"{f} float" for f in FEATURES[:-3])
 
 
 def _flat(text: str) -> str:
@@ -229,7 +229,9 @@ def block_features(pages: DataFrame) -> DataFrame:
     shares = measured_join(counted.where("n > 1"), sizes, ["s"]).select("s", "g", (F.col("n") / F.greatest("pages", F.lit(5))).cast("float").alias("share"))
     with_share = measured_join(lines, shares, ["s", "g"], "left")
     with_sites = measured_join(with_share, spread.select("g", (F.col("sites") / F.lit(float(max(1, all_sites)))).cast("float").alias("sites")), ["g"], "left")
-    return with_sites.withColumns({"share": F.coalesce("share", F.lit(0.0)).cast("float"), "sites": F.coalesce("sites", F.lit(0.0)).cast("float")})
+    filled = with_sites.withColumns({"share": F.coalesce("share", F.lit(0.0)).cast("float"), "sites": F.coalesce("sites", F.lit(0.0)).cast("float")})
+    # prompts fill their own site and few others; what every site says now and then is language
+    return filled.withColumn("focus", (F.col("share") / (F.col("sites") + 0.05)).cast("float"))
 
 
 class Tree:

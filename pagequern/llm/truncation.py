@@ -208,8 +208,9 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
-        maybe = np.zeros(CONTEXTS << TABLE_BITS, bool)
-        maybe[asked] = True
+        # the place of each slot among those asked about; slot -1 finds the last, which is never asked
+        place = np.full((CONTEXTS << TABLE_BITS) + 1, -1, np.int32)
+        place[asked] = np.arange(len(asked), dtype=np.int32)
         end, on = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         for batch in batches:
             texts = [strip_mark(t) for t in batch.column("text").to_pylist() if t]
@@ -222,9 +223,9 @@ def _counts(sent):
                 if group and (held > 300_000 or k + 1 == len(texts)):
                     slots, ends = _slots(group, _short(group))
                     for row in slots:
-                        hit = np.flatnonzero((row >= 0) & maybe[row])
-                        number = np.searchsorted(asked, row[hit])
-                        e = ends[hit]
+                        number = place[row]
+                        hit = number >= 0
+                        number, e = number[hit], ends[hit]
                         end += np.bincount(number[e], minlength=len(asked))
                         on += np.bincount(number[~e], minlength=len(asked))
                     group, held = [], 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pagequern.session import settle
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """old with new rows; of a key the row with the largest order stays, new before old at ties."""
@@ -64,5 +66,15 @@ def cookies_for(jar: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def turn_windows(rows: DataFrame, key: str, order: str, delay_ms: int) -> DataFrame:
-    """A schedule that keeps delay_ms between the requests of one key."""
-    return rows.withColumn("slot_ms", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) * delay_ms)
+    """A schedule that keeps delay_ms between the requests of one key.
+
+    Rows are ranged by key and order, so that a key with a third of all rows spans several tasks; each task
+    numbers its own part, and the parts before it add their counts.
+    """
+    ranged = settle(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(key, "_part", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy(key, "_part").orderBy(order))
+    numbered = ranged.withColumn("_own", own).join(offsets, [key, "_part"])
+    return numbered.withColumn("slot_ms", (F.col("_own") + F.col("_before") - 1) * delay_ms).select(*rows.columns, "slot_ms")

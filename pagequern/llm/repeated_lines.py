@@ -58,6 +58,7 @@ def frequent_sequences(sequences: DataFrame, min_documents: int = MIN_DOCUMENTS,
     sizes = sequences.groupBy("s", "doc").agg(F.lit(1).alias("one")).groupBy("s").agg(F.count("*").alias("docs"))
     single = _supported(sequences.select("s", "doc", F.explode(F.array_distinct(F.filter("h", lambda x: x.isNotNull()))).alias("g")), sizes, min_documents, min_share)
     patterns = settle(single.select("s", "g", F.lit(1).alias("length"), "n"))
+    # a source has at most 1 / min_share times its lines a document of such lines: the list is short
     lists = patterns.groupBy("s").agg(F.collect_list("g").alias("known"))
     marked = measured_join(sequences, lists, ["s"], "left")
     pairs = F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("g")))

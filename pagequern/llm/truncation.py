@@ -275,8 +275,8 @@ def end_scores(docs: DataFrame) -> DataFrame:
     counted = docs.select("text").where(F.length("text") > 0).mapInArrow(_counts(spark.sparkContext.broadcast(asked)), "slot int, ends bigint, goes_on bigint")
     model = counted.groupBy("slot").agg(F.sum("ends").cast("bigint").alias("ends"), F.sum("goes_on").cast("bigint").alias("goes_on")).orderBy("slot").toArrow()
     sent = spark.sparkContext.broadcast(tuple(model.column(c).to_numpy() for c in ("slot", "ends", "goes_on")))
-    copies = tails.groupBy("h").agg(F.count("*").alias("copies"))
-    joined = tails.join(copies, "h")
+    copies = tails.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+    joined = measured_join(tails, copies, ["h"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return joined.select("doc_id", "lang", "source", "slots", "fence", "broken", "marked", "closed", "short", "chars", "copies").mapInPandas(_scores(sent), "doc_id bigint, lang string, source string, fence boolean, broken boolean, marked boolean, closed boolean, short boolean, chars int, copies bigint, score double")
 
 

@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -368,8 +369,9 @@ def _word_readings(word: str, model: Model) -> dict[int, tuple[float, int]]:
     return out
 
 
-def _other_reading(text: str, segments: list[tuple[int, int]], model: Model) -> tuple[str, str, str] | None:
-    """(read as, meant, text) of the encodings under which the segments' words read best, if they gain enough."""
+def _other_reading(text: str, whole: str, segments: list[tuple[int, int]], model: Model) -> tuple[str, str, str] | None:
+    """(read as, meant, text) of the encodings under which the segments' words read best, if they gain enough.
+    whole is the text with what it quotes."""
     total: dict[int, list[float]] = {}
     words: set[str] = set()
     for a, b in segments:
@@ -389,6 +391,31 @@ def _other_reading(text: str, segments: list[tuple[int, int]], model: Model) ->
             w, r, m = _SINGLE[i]
             fixed = _WORD_OF.sub(lambda x: x.group().translate(m) if i in _word_readings(x.group(), model) else x.group(), text)
             return w, r, fixed
+    return _east_reading(text, whole)
+
+
+def _east_whole(text: str, wrong: str, meant: str) -> str | None:
+    """text with all its lines decoded as meant; None if any isn't. What wrong has no byte for was never
+    read with it and stays."""
+    known = _to_bytes(wrong)
+    out = []
+    for line in text.split("\n"):
+        for own, run in groupby(line, lambda x: ord(x) in known):
+            piece = "".join(run)
+            if own and not piece.isascii():
+                try:
+                    piece = bytes(known[ord(x)] for x in piece).decode(meant)
+                except UnicodeDecodeError:
+                    return None
+            out.append(piece)
+        out.append("\n")
+    return "".join(out[:-1])
+
+
+def _east_reading(text: str, whole: str) -> tuple[str, str, str] | None:
+    """(read as, meant, whole restored or "") of the encodings under which a line of text is Japanese; those
+    that decode all of whole come first."""
+    found: dict[tuple[str, str], None] = {}
     for line in text.split("\n"):
         foreign = [k for k, x in enumerate(line) if ord(x) > 127 and not _EASTERN.match(x)]
         part = line[foreign[0] : foreign[-1] + 1] if foreign else ""
@@ -403,8 +430,12 @@ def _other_reading(text: str, segments: list[tuple[int, int]], model: Model) ->
                 new = raw.decode(r, "replace")
                 wide = sum(ord(x) > 127 for x in new)
                 if new.count("�") * 10 <= wide <= len(foreign) * 0.7 and sum(0x3040 <= ord(x) < 0x3100 for x in new) * 4 >= wide:
-                    return w, r, "" if "�" in new or "\n" in text else text.replace(part, new)
-    return None
+                    found[w, r] = None
+    for w, r in found:
+        restored = _east_whole(whole, w, r)
+        if restored and "�" not in restored:
+            return w, r, restored
+    return (*next(iter(found)), "") if found else None
 
 
 #: Foreign characters with what lies between them, East Asian ones apart from the rest.
@@ -452,7 +483,7 @@ def repair(text: str, model: Model) -> tuple[bool, str | None, str | None]:
     if lost:
         return True, None, None
     # a run that isn't UTF-8 is damage only if another encoding reads far better
-    other = _other_reading(plain, segments, model)
+    other = _other_reading(plain, text, segments, model)
     if other:
         return True, other[2] or None, f"{other[1]} as {other[0]}"
     return False, text, None

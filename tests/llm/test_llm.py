@@ -61,6 +61,16 @@ def test_other_damage(model):
     assert mojibake.repair(CLEAN[0].encode().decode("latin_1").encode().decode("latin_1"), model)[1] == CLEAN[0]
 
 
+@pytest.mark.parametrize("meant, wrong", [("euc_jp", "cp1252"), ("cp932", "mac_roman")])
+def test_japanese_of_many_lines(model, meant, wrong):
+    known = {b: chr(c) for c, b in mojibake._to_bytes(wrong).items()}
+    text = "見出しは古い記録を保存します。\nLine `one`\n索引は接続なしで要求を保存します。\n記録の表"
+    bad = "".join(known[b] for b in text.encode(meant))
+    assert mojibake.repair(bad, model) == (True, text, f"{meant} as {wrong}")
+    # one line that can't be decoded: the damage is found, nothing is restored
+    assert mojibake.repair(f"{bad}\n{known[0x82]}", model)[:2] == (True, None)
+
+
 def test_garbled_edges(spark):
     rows = [(1, None, None, "c"), (2, "", " ", "c"), (2, "cafÃ© au lait", "café", "c"), (2, "cafÃ© au lait", "café", "c"), (3, "é" * 300_000, None, "c")]
     df = spark.createDataFrame(rows, "scrape_id bigint, text string, raw_text string, slot string")

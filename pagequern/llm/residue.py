@@ -2,8 +2,9 @@
 
 Every line is masked (numbers, ids, hosts, paths; in the tree the names of longer lines too) and falls into the leaf of a tree of fixed depth:
 its number of tokens, then its first three tokens. A leaf's template is what its least and greatest masked
-lines have in common, found by one map-side combined aggregation. Templates are classified once: a lexicon
-names messages that stand instead of content; templates that hardly ever occur without such a message are
+lines have in common, found by one map-side combined aggregation. Templates, and the distinct lines of leaves
+whose template says nothing, are classified once: a lexicon names messages that stand instead of content;
+templates that hardly ever occur without such a message are
 its companions. The verdicts are joined back to the lines, and a record is residue if it holds a message
 and no sentence of its own. Unfilled slots and unrendered values are looked for in every record, outside of
 code and of sentences that explain them.
@@ -98,13 +99,6 @@ def record_lines(records: DataFrame) -> DataFrame:
     return settle(masked.select("id", F.lower("masked").alias("masked"), _leaf(F.col("tokens")).alias("leaf"), (sentence & ~title & ~frame).alias("content")))
 
 
-def message_templates(lines: DataFrame) -> DataFrame:
-    """(leaf, template, lines): a template is what the leaf's least and greatest masked lines share."""
-    ends = lines.groupBy("leaf").agg(F.min("masked").alias("a"), F.max("masked").alias("b"), F.count("*").alias("lines"))
-    shared = F.zip_with(F.split("a", r"\s+"), F.split("b", r"\s+"), lambda x, y: F.when(x == y, x).otherwise("<*>"))
-    return ends.select("leaf", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.array_join(shared, " ")).alias("template"), "lines")
-
-
 def _is_message(text: Column) -> Column:
     """No message is longer than 460 characters; only made-up Latin may be."""
     plain = ~text.rlike("[“”\"`«»「」]") | text.rlike(r"^[{<]")
@@ -114,6 +108,20 @@ def _is_message(text: Column) -> Column:
     return F.when(F.length(text) <= 460, plain & text.rlike("^(?:" + "|".join(_MESSAGES) + ")$")).otherwise(F.lit(False)) | filler
 
 
+def messages(lines: DataFrame) -> DataFrame:
+    """(leaf, masked, template, lines) of the templates that are messages. masked is NULL where a whole leaf is
+    one: its template is what its least and greatest lines share. The other leaves' lines are judged by
+    themselves, each distinct one once, since a leaf of ordinary lines can still hold messages."""
+    distinct = lines.groupBy("leaf", "masked").agg(F.count("*").alias("lines"))
+    judged = settle(distinct.withColumn("message", _is_message(F.col("masked"))))
+    ends = judged.groupBy("leaf").agg(F.min("masked").alias("a"), F.max("masked").alias("b"), F.sum("lines").alias("lines"), F.bool_or("message").alias("any"))
+    shared = F.zip_with(F.split("a", r"\s+"), F.split("b", r"\s+"), lambda x, y: F.when(x == y, x).otherwise("<*>"))
+    templates = ends.select("leaf", "lines", "any", (F.col("a") == F.col("b")).alias("one"), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.array_join(shared, " ")).alias("template"))
+    whole = settle(templates.where(F.when(F.col("one"), F.col("any")).otherwise(_is_message(F.col("template")))).select("leaf", F.lit(None).cast("string").alias("masked"), "template", "lines"))
+    rest = measured_join(judged.where("message").select("leaf", "masked", F.col("masked").alias("template"), "lines"), whole.select("leaf", F.lit(True).alias("whole")), ["leaf"], "left").where("whole IS NULL").drop("whole")
+    return settle(whole.unionByName(rest))
+
+
 def slot_shown(text: Column) -> Column:
     """Whether a text shows an unfilled slot or unrendered value: outside code blocks, inline code and
     lines of program text, in a sentence that doesn't explain it."""
@@ -132,11 +140,11 @@ def residue_records(records: DataFrame) -> DataFrame:
     NULL, empty and blank texts, and titles by themselves, are none. Extra columns are ignored.
     """
     lines = record_lines(records)
-    templates = message_templates(lines)
-    messages = templates.where(_is_message(F.col("template"))).select("leaf", F.lit(True).alias("message"))
-    messages = settle(messages)
-    marked = measured_join(lines.select("id", "leaf", "content"), messages, ["leaf"], "left")
-    own = F.coalesce("message", F.lit(False))
+    known = messages(lines)
+    whole = known.where("masked IS NULL").select("leaf", F.lit(True).alias("leaf_message"))
+    single = known.where("masked IS NOT NULL").select("leaf", "masked", F.lit(True).alias("line_message"))
+    marked = measured_join(measured_join(lines, whole, ["leaf"], "left"), single, ["leaf", "masked"], "left")
+    own = F.coalesce("leaf_message", "line_message", F.lit(False))
     flags = marked.select("id", "leaf", own.alias("message"), (F.col("content") & ~own).alias("content"))
     by_record = flags.groupBy("id").agg(F.bool_or("message").alias("has"), F.collect_set(F.when(F.col("content"), F.col("leaf"))).alias("own"))
     some = by_record.select("id", "has", F.explode("own").alias("leaf"))
@@ -156,7 +164,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_templates(spark: SparkSession, base: str) -> DataFrame:
     """The templates that are messages, with the number of their lines."""
     lines = record_lines(table(spark, base, "scrapes").select(F.col("scrape_id").alias("id"), "text"))
-    return message_templates(lines).where(_is_message(F.col("template"))).select("template", "lines")
+    return messages(lines).select("template", "lines")
 
 
 QUERIES = {"p4_found": p4_found, "p4_templates": p4_templates}

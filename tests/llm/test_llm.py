@@ -130,6 +130,16 @@ def test_residue(spark):
     assert residue.residue_records(spark.createDataFrame([], "id bigint, text string")).count() == 0
 
 
+def test_messages_beside_ordinary_lines(spark):
+    """Lines of one leaf, of which only some are messages."""
+    texts = ["This page is not available in your region", "This page is a short guide for readers.", "This page is the long guide for writers.", "This page is not available in your country"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "id bigint, text string")
+    lines = residue.record_lines(df)
+    assert lines.select("leaf").distinct().count() == 1
+    assert {(r["template"], r["lines"]) for r in residue.messages(lines).collect()} == {(texts[0].lower(), 2), (texts[3].lower(), 2)}
+    assert {r["id"] for r in residue.residue_records(df).collect()} == {0, 3, 4, 7}
+
+
 # 5 ----------------------------------------------------------------------------------------------------------
 
 

@@ -27,6 +27,15 @@ def head_links(spark: SparkSession, base: str) -> DataFrame:
     return rows.unionByName(alt).unionByName(agents).unionByName(best)
 
 
+def head_links_pages(spark: SparkSession, base: str) -> DataFrame:
+    """Refresh and alternates of every page."""
+    d = table(spark, base, "pages").where("html IS NOT NULL")
+    r = M.meta_refresh(F.col("html"), F.col("url"))
+    rows = d.select("page_id", F.lit("refresh").alias("kind"), r["url"].alias("target"), (r["delay"] == 0).alias("flag")).where("target IS NOT NULL")
+    alt = d.select("page_id", F.explode(M.alternates(F.col("html"), F.col("url"))).alias("a"))
+    return rows.unionByName(alt.select("page_id", F.lit("alternate").alias("kind"), F.col("a.url").alias("target"), F.col("a.agent").alias("flag")))
+
+
 def other_markups(spark: SparkSession, base: str) -> DataFrame:
     d = spark.createDataFrame([(RST, MDX)], "rst string, mdx string")
     heads = d.select(F.explode(M.rst_headings(F.col("rst"))).alias("h")).select(F.lit("rst").alias("kind"), F.col("h.text").alias("name"), F.col("h.line").alias("line"))
@@ -83,7 +92,7 @@ def source_resolution(spark: SparkSession, base: str) -> DataFrame:
     return E.resolve_source(d).select("id", "error")
 
 
-QUERIES = {f.__name__: f for f in (head_links, other_markups, llm_render, pattern_matches, extract_selector, extract_cosine, context_packages, api_symbols, operation_search, source_resolution)}
+QUERIES = {f.__name__: f for f in (head_links, head_links_pages, other_markups, llm_render, pattern_matches, extract_selector, extract_cosine, context_packages, api_symbols, operation_search, source_resolution)}
 ORACLES = {
     "head_links": "SELECT * FROM (VALUES ('refresh', 'https://s.example/next', true), ('alternate', 'https://s.example/a.md', true), ('alternate', 'https://s.example/d/b.html', false), ('agent', 'https://s.example/d/p.md', true), ('agent', 'https://s.example/llms.txt', true), ('picked', 'https://s.example/a.md', true)) t(kind, target, flag)",
     "other_markups": "SELECT * FROM (VALUES ('rst', 'Title', 1), ('rst', 'Part one', 6), ('mdx', 'Card', 0), ('mdx', 'Tabs.Item', 1), ('stripped', '# Head', 0)) t(kind, name, line)",

@@ -157,6 +157,13 @@ def redirects(spark: SparkSession, base: str) -> DataFrame:
     return crawl.redirect_targets(spark.createDataFrame(hops, "url string, target string"))
 
 
+def redirects_snapshots(spark: SparkSession, base: str) -> DataFrame:
+    """Chains of the snapshots' redirects by URL key: of each URL its last one, over all deliveries."""
+    s = table(spark, base, "snapshots").where("final_url IS NOT NULL").select(U.url_key(F.col("url")).alias("url"), U.url_key(F.col("final_url")).alias("target"), "taken_at", "snapshot_id")
+    last = state.latest(s.where("url IS NOT NULL AND target IS NOT NULL"), ["url"], ["taken_at", "snapshot_id"])
+    return crawl.redirect_targets(last.where("url <> target").select("url", "target"))
+
+
 def context_parents(spark: SparkSession, base: str) -> DataFrame:
     """The nearest ancestor of each document URL among all document URLs and their site roots."""
     d = table(spark, base, "documents").where("url IS NOT NULL").select("url").distinct()
@@ -198,7 +205,7 @@ def event_sessions(spark: SparkSession, base: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (cache_asof, staleness_bucket, fresh_aggregate, recommended_action, crawl_list, latest_snapshot, store_upsert, state_delta, storage_stats, batch_summary, frontier_admit, frontier_admit_all, best_first, best_first_all, crawl_bfs, crawl_bfs_all, redirects, context_parents, site_files, politeness_slots, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (cache_asof, staleness_bucket, fresh_aggregate, recommended_action, crawl_list, latest_snapshot, store_upsert, state_delta, storage_stats, batch_summary, frontier_admit, frontier_admit_all, best_first, best_first_all, crawl_bfs, crawl_bfs_all, redirects, redirects_snapshots, context_parents, site_files, politeness_slots, event_windows, event_sessions)}
 
 from pagequern.plans.snapshot_queries import KEYED  # noqa: E402
 

@@ -141,15 +141,24 @@ def links_changed(spark: SparkSession, base: str) -> DataFrame:
     return fresh.groupBy("delivery").agg(F.count("*").alias("links_added"))
 
 
-def line_similarity(spark: SparkSession, base: str) -> DataFrame:
-    """Similarity of consecutive snapshots' titles (ASCII ones)."""
+def _title_pairs(spark: SparkSession, base: str) -> DataFrame:
     s = table(spark, base, "snapshots").where("title IS NOT NULL").select("snapshot_id", "title")
     after = s.select((F.col("snapshot_id") - 1).alias("snapshot_id"), F.col("title").alias("other"))
-    ascii_only = s.join(after, "snapshot_id").where(~F.col("title").rlike(r"[^\x00-\x7f]") & ~F.col("other").rlike(r"[^\x00-\x7f]"))
+    return s.join(after, "snapshot_id")
+
+
+def line_similarity(spark: SparkSession, base: str) -> DataFrame:
+    """Similarity of consecutive snapshots' titles (ASCII ones)."""
+    ascii_only = _title_pairs(spark, base).where(~F.col("title").rlike(r"[^\x00-\x7f]") & ~F.col("other").rlike(r"[^\x00-\x7f]"))
     return ascii_only.select("snapshot_id", F.round(T.line_similarity(F.col("title"), F.col("other")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (line_grep, line_grep_context, line_preview, excerpts, sections, regex_extract, contains_markers, text_metrics, markdown_headings, markdown_links, markdown_code, markdown_sections, cosine_topk, split_blocks, fts_search, content_hash_dedupe, diff_multiset, diff_paired, links_changed, line_similarity)}
+def line_similarity_all(spark: SparkSession, base: str) -> DataFrame:
+    """Similarity of all consecutive snapshots' titles; without SQL."""
+    return _title_pairs(spark, base).select("snapshot_id", F.round(T.line_similarity(F.col("title"), F.col("other")), 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (line_grep, line_grep_context, line_preview, excerpts, sections, regex_extract, contains_markers, text_metrics, markdown_headings, markdown_links, markdown_code, markdown_sections, cosine_topk, split_blocks, fts_search, content_hash_dedupe, diff_multiset, diff_paired, links_changed, line_similarity, line_similarity_all)}
 
 _D = "(SELECT doc_id, text, lang FROM documents WHERE text IS NOT NULL)"
 _L = r"(SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) AS line, x FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS x FROM documents WHERE text IS NOT NULL))"

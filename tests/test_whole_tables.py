@@ -14,3 +14,27 @@ def test_all_deliveries_are_read(spark, base, name):
         assert df.agg({"pages": "sum"}).first()[0] > first.where("graph = 'links'").selectExpr("sum(CAST(url AS bigint))").first()[0]
     else:
         assert df.count() > first.count()
+
+
+def test_redirects_of_snapshots(spark, tmp_path):
+    rows = [(1, "https://a.example/1", "https://a.example/2", 1), (2, "https://a.example/2", "https://a.example/3", 1), (3, "https://a.example/4/", "https://a.example/4", 1), (4, "https://a.example/5", None, 1), (5, "https://a.example/1", "https://a.example/9", 0)]
+    df = spark.createDataFrame(rows, "snapshot_id bigint, url string, final_url string, t int").selectExpr("*", "timestamp_seconds(t) AS taken_at")
+    df.write.parquet(f"{tmp_path}/snapshots.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["redirects_snapshots"](spark, str(tmp_path)).collect()}
+    assert got == {("https://a.example/1", "https://a.example/3", 2, "ok"), ("https://a.example/2", "https://a.example/3", 1, "ok")}
+
+
+def test_titles_of_all_characters(spark, tmp_path):
+    spark.createDataFrame([(1, "Größe"), (2, "Größe"), (3, "abc"), (4, None)], "snapshot_id bigint, title string").write.parquet(f"{tmp_path}/snapshots.parquet")
+    got = {r["snapshot_id"]: r["similarity"] for r in catalog.QUERIES["line_similarity_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1.0, 2: 0.0}
+
+
+def test_pages_heads_and_deep_headings(spark, tmp_path):
+    deep = "<div>" * 12 + "<h1 class='t'>A title</h1>" + "</div>" * 12
+    rows = [(1, "https://a.example/d/p", '<html><head><link rel="alternate" type="text/markdown" href="/a.md"><meta http-equiv="refresh" content="0; URL=/next"></head><body>' + deep + "</body></html>"), (2, "https://a.example/q", f"<html><body>{deep}</body></html>"), (3, "https://a.example/r", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["page_id"], r["kind"], r["target"]) for r in catalog.QUERIES["head_links_pages"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "refresh", "https://a.example/next"), (1, "alternate", "https://a.example/a.md")}
+    found = {(r["page_id"], r["tag"]) for r in catalog.QUERIES["heal_selector"](spark, str(tmp_path)).collect()}
+    assert found == {(1, "h1"), (2, "h1")}

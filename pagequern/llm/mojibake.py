@@ -445,7 +445,7 @@ _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 def repair(text: str, model: Model) -> tuple[bool, str | None, str | None]:
     """(damaged, restored text where all damage could be undone, how)."""
-    if not text or text.isascii():
+    if not text or text.isascii() and not _ENTITY.search(text):
         return False, text, None
     shown = _QUOTED.sub(lambda m: "x" * len(m.group()), _MENTIONED.sub(lambda m: "x" * len(m.group()), text))
     entity = _ENTITY.search(shown)
@@ -511,7 +511,8 @@ def _repair_batches(sent):
 def garbled_fields(scrapes: DataFrame) -> DataFrame:
     """(scrape_id, field, damaged, restored, how) of every text and raw_text that wrong decoding damaged.
 
-    restored is NULL where damage can't be undone. NULL, empty and ASCII fields are never damaged. The
+    restored is NULL where damage can't be undone. NULL, empty and ASCII fields
+    without numeric entities are never damaged. The
     declared charset isn't used: it is wrong as often as it is right where text is garbled.
     """
     counts = scrapes.select("text", "raw_text").mapInArrow(_count_pairs, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()

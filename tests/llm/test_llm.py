@@ -71,6 +71,12 @@ def test_japanese_of_many_lines(model, meant, wrong):
     assert mojibake.repair(f"{bad}\n{known[0x82]}", model)[:2] == (True, None)
 
 
+def test_damage_in_entities_only(model):
+    assert mojibake.repair("un caf&#195;&#169; au lait", model) == (True, "un café au lait", "utf-8")
+    for clean in ("un caf&#233; au lait", "a &#124; b", "&#169; 2025", "write `&#195;&#169;` here"):
+        assert not mojibake.repair(clean, model)[0]
+
+
 def test_garbled_edges(spark):
     rows = [(1, None, None, "c"), (2, "", " ", "c"), (2, "cafÃ© au lait", "café", "c"), (2, "cafÃ© au lait", "café", "c"), (3, "é" * 300_000, None, "c")]
     df = spark.createDataFrame(rows, "scrape_id bigint, text string, raw_text string, slot string")

@@ -167,7 +167,7 @@ def _slots(texts: list[str], short: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _short(texts: list[str]) -> np.ndarray:
-    """Texts of one short line without a sentence: names and titles by themselves."""
+    """Texts of one line of at most 60 characters: mostly names and titles by themselves."""
     return np.array([len(t) <= 60 and "\n" not in t for t in texts], bool)
 
 
@@ -283,10 +283,11 @@ def end_scores(docs: DataFrame) -> DataFrame:
 def cut_texts(docs: DataFrame) -> DataFrame:
     """end_scores with cut: a text ends inside a sentence, word, code block or character.
 
-    NULL, empty and blank texts are never cut. NULL languages and sources form groups of their own.
+    NULL, empty and blank texts are never cut; short ones only by an open code block or a broken last character,
+    as the score can't tell their sentences from names and titles. NULL languages and sources form groups of their own.
     """
     scores = settle(end_scores(docs))
-    sure = ~F.col("short") & (F.col("fence") | F.col("broken") | (~F.col("closed") & (F.col("score") < THRESHOLD)))
+    sure = F.col("fence") | F.col("broken") | (~F.col("short") & ~F.col("closed") & (F.col("score") < THRESHOLD))
     bands = scores.where(sure).groupBy("lang", "source", F.floor(F.col("chars") / NEAR).alias("band")).agg(F.count("*").alias("n"), F.max("chars").alias("limit"))
     best = bands.groupBy("lang", "source").agg(F.max(F.struct("n", "limit")).alias("m"), F.sum("n").alias("all"))
     limits = best.where((F.col("m.n") >= LIMIT_CUTS) & (F.col("m.n") >= LIMIT_SHARE * F.col("all"))).select(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_"), F.col("m.limit").alias("limit"))

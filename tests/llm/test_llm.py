@@ -303,3 +303,10 @@ def test_cuts_are_told(spark):
     found -= {1003}
     assert len(found & cut) >= 0.9 * len(cut) and len(found - cut) <= 6
     assert truncation.cut_texts(df.limit(0)).count() == 0
+
+
+def test_short_texts_with_open_fence_or_broken_end(spark):
+    rows = [(1, "```js let a = 1", "en", "s"), (2, "Caf\ufffd", "en", "s"), (3, "Working with a queue", "en", "s")]
+    rows += [(i, " ".join(_sentence(random.Random(i)) for _ in range(8)), "en", "s") for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r["doc_id"] for r in truncation.cut_texts(df).where("cut").collect()} == {1, 2}

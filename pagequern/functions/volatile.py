@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pagequern.functions.url import without_params
 
-# What counts as volatile, in the order in which it is replaced.
+# What counts as volatile, in the order in which it is replaced. Look-arounds stand for word
+# boundaries, since the JVM's \b takes other letters than ASCII for words and JavaScript's doesn't; the ad
+# slot's last character is written apart for the same reason.
 RELATIVE_TIME = r"(?<![A-Za-z0-9_])((?i:last updated|updated|posted))\s+(?i:about\s+)?\d+\s+(?i:seconds?|minutes?|hours?|days?)\s+(?i:ago)(?![A-Za-z0-9_])"
 TIMESTAMP = r"(?<![A-Za-z0-9_])\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z(?![A-Za-z0-9_])"
 TOKEN = r"(?i)(?<![A-Za-z0-9_])(?:csrf|xsrf|session|sid|nonce|token)=['\"]?[A-Za-z0-9._:-]{12,}['\"]?"
@@ -15,11 +17,12 @@ AD_SLOT = r"(?i)(?<![A-Za-z0-9_])(?:ad-slot|ad_unit|google_ads_iframe)[:=_-][A-Z
 TRACKING_PARAM = "utm_[^=&#]*|fbclid|gclid|msclkid|yclid|mc_cid|mc_eid"
 SESSION_PARAM = "session|sid|csrf|xsrf|nonce|token"
 
-_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+#: White space as JavaScript trims it.
+_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 #: A line without any of these has nothing to mask.

@@ -4,7 +4,8 @@ Each row becomes a few numbers: two 64-bit hashes of its key, and hashes of what
 rows in one delivery the last counts; that is a map-side combined maximum, so a key that holds a third of
 all rows costs a partial aggregate per task. The compact rows are hashed into buckets of bounded size; in
 each bucket numpy sorts the keys once and finds, delivery by delivery, what searchsorted does not meet in
-the one before. Only for the keys that differ are the full values read, by row id.
+the one before. Only for the keys that differ are the full values read, by row id: the differences are
+written and measured, and while small sent to the scan.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagequern.functions.url import url_key
 from pagequern.functions.volatile import bare_link, mask_lines
-from pagequern.session import key128
+from pagequern.session import key128, measured_join
 
 #: Compact rows (about 60 bytes) in a bucket.
 BUCKET_ROWS = 250_000
@@ -110,5 +111,6 @@ def page_snapshot_changes(snapshots: DataFrame) -> DataFrame:
         parts_hash=F.when(comparable, F.xxhash64("g")),
         links=F.xxhash64("ls"),
     )
-    full = snapshots.select(F.col("snapshot_id").cast("bigint").alias("id"), url_key(F.col("url")).alias("url_key"), F.coalesce("snapshot_name", F.lit("")).alias("snapshot_name"))
-    return changes.join(full, "id").select("url_key", "snapshot_name", F.col("d").alias("delivery"), "change", F.col("id").alias("snapshot_id"))
+    # full values are read for the differing rows alone, and what is derived from them is computed after the join
+    full = measured_join(snapshots.select(F.col("snapshot_id").cast("bigint").alias("id"), "url", "snapshot_name"), changes, ["id"])
+    return full.select(url_key(F.col("url")).alias("url_key"), F.coalesce("snapshot_name", F.lit("")).alias("snapshot_name"), F.col("d").alias("delivery"), "change", F.col("id").alias("snapshot_id"))

@@ -10,9 +10,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it was written and measured, and holds at most this many bytes.
+BROADCAST_BYTES = 64 << 20
 #: Copies of the small side, and random shares of the large one, in a salted join.
 SALT = 16
 
@@ -38,24 +39,32 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own is set only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share. A folder of our own is set only where the session names none, and only
+    if its executors run on this machine; a cluster without a shared folder is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pagequern-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the settled tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/pagequern-{uuid.uuid4().hex}"
+    _settled.append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, and several consumers read
     columns of compressed parquet instead of computing them again. Survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagequern-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _settled.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._is_settled = True
+    return out
 
 
 _settled: list[str] = []
@@ -78,15 +87,37 @@ def _sweep() -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def measured_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table with a side that is usually small.
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the rows of df: eight for a fixed-width value, the length of strings and binaries, the
+    elements of arrays (of strings: sixteen each and their letters), and sixteen for each of those."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c) + 16
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            letters = F.octet_length(F.array_join(c, "")) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType) else F.lit(0)
+            return F.size(c) * 16 + letters + 16
+        return F.lit(8)
+
+    row = sum((F.coalesce(width(F.col(f.name), f.dataType), F.lit(0)).cast("bigint") for f in df.schema.fields), F.lit(16).cast("bigint"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def measured_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join (inner, left, left_semi, left_anti) a large table with a side that is usually small.
 
-    small is counted (up to limit + 1 rows): within the limit it is broadcast; beyond it both sides are
-    shuffled with a salt, so that a key holding a third of big is spread over SALT tasks.
+    small is settled, unless it is already, and its bytes are added up: within the limit it is broadcast;
+    beyond it both sides are shuffled with a salt, the hash of the whole row of big, so that a key holding a
+    third of big is spread over SALT tasks.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no measured join of kind {how}")
+    if not getattr(small, "_is_settled", False):
+        small = settle(small)
+    if bytes_of(small) <= limit:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns[:1]]), F.lit(SALT)).cast("int"))
+    whole = [F.col(f.name) for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*whole), F.lit(SALT)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagequern.session import shared_dir
+from pagequern.session import scratch
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now into a written table, and read it back. The checkpoint lies in
-    the shared folder, so a lost executor or driver resumes where the last batch ended."""
+    the shared folder, so a lost executor or driver resumes where the last batch ended; forget_settled
+    deletes both."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/pagequern-stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagequern.functions.url import absolute_url, part
+from pagequern.functions.url import absolute_url, normalize_url, part
 
 # Types of alternates that are made for agents, and the rendering order of formats.
 AGENT_TYPES = ["text/markdown", "text/plain", "text/x-markdown", "application/markdown"]
@@ -41,9 +41,12 @@ def alternates(html: Column, base: Column) -> Column:
 
 
 def agent_urls(url: Column) -> Column:
-    """Where a page's text for agents may lie: its .md sibling and the site's llms.txt."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"(?:\.html?|/+)$", "")
-    return F.array(F.concat(bare, F.lit(".md")), F.concat(part(url, 1), F.lit("://"), part(url, 2), F.lit("/llms.txt")))
+    """Where a page's text for agents may lie: its path with .md (of the root: /index.md), and the site's
+    llms.txt; both of the URL's normal form, without a query."""
+    normal = normalize_url(url)
+    origin = F.concat(part(normal, 1), F.lit("://"), part(normal, 2))
+    path = F.regexp_replace(part(normal, 3), "/$", "")
+    return F.array(F.concat(origin, F.when(path == "", "/index").otherwise(path), F.lit(".md")), F.concat(origin, F.lit("/llms.txt")))
 
 
 def pick_alternate(found: Column, kinds: list[str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagequern.functions.url import normalize_url
+
 # What tells a blocked page and one that needs scripts, and the status codes of refusal.
 BLOCK_PATTERN = "(?i)captcha|cloudflare|access denied|temporarily blocked|unusual traffic|verify you are human"
 SPA_PATTERN = r"(?i)id=[\"'](?:root|app|__next)[\"']|data-reactroot|enable javascript|javascript is required"
@@ -107,16 +109,26 @@ def recommended_action(status: Column, stale: Column) -> Column:
     )
 
 
+# Status codes after which a request may be sent again.
+RETRYABLE_STATUS = [408, 429, 500, 502, 503, 504]
+
+
 def retryable(status: Column) -> Column:
-    return status.isin(408, 425, 429, 500, 502, 503, 504)
+    return status.isin(RETRYABLE_STATUS)
 
 
 def retry_delay_ms(attempt: Column, base: int = 250, most: int = 5_000) -> Column:
     return F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), attempt - 1))
 
 
-def should_follow_refresh(delay: Column, hops: Column, target: Column, own: Column, visible_chars: Column) -> Column:
-    return (hops < 3) & (delay <= 5) & (target != own) & (visible_chars < 100)
+def should_follow_refresh(delay: Column, hops: Column, target: Column, own: Column, visible_chars: Column, route: Column | None = None, prefer: bool = False) -> Column:
+    """Within three hops and five seconds, to another page, from HTML with less than 100 visible characters;
+    prefer follows whatever the page shows."""
+    near = (hops < 3) & (delay <= 5) & own.isNotNull() & (normalize_url(target) != normalize_url(own))
+    if prefer:
+        return near
+    html = F.lit(True) if route is None else route == "html"
+    return near & html & (visible_chars < 100)
 
 
 def best_first_score(url: Column, depth: Column) -> Column:
@@ -127,7 +139,8 @@ def best_first_score(url: Column, depth: Column) -> Column:
 
 
 def safe_name(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
+    """Every character that isn't safe in a file's name becomes one underscore."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
 
 
 def extension_for(content_type: Column) -> Column:

@@ -57,8 +57,7 @@ def extract(pages: DataFrame, **given: object) -> DataFrame:
     if action in ("pattern", "regex"):
         return pages.select("page", F.posexplode(regex_matches(F.col("text"), str(given["pattern"]), limit=int(given.get("limit", 50)))).alias("pos", "value"))
     if action == "cosine":
-        blocks = ranking.text_blocks(pages.select(F.col("page").alias("doc"), "text"))
-        return ranking.cosine_top(blocks, str(given["query"]), int(given.get("top", 5)), float(given.get("least", 0.0))).withColumnRenamed("doc", "page")
+        return ranking.cosine_top(ranking.with_blocks(pages.select(F.col("page").alias("doc"), "text")), str(given["query"]), int(given.get("top", 5)), float(given.get("least", 0.0))).withColumnRenamed("doc", "page")
     if action == "vertical":
         columns = manifest.compile_manifest(given["manifest"], F.col("url"), F.try_parse_json("text"))  # type: ignore[arg-type]
         return pages.select("page", *[v.alias(k) for k, v in columns.items()])

@@ -32,12 +32,7 @@ def _walked(snapshots: DataFrame) -> DataFrame:
 
 
 def json_walk(spark: SparkSession, base: str) -> DataFrame:
-    """Objects of the first delivery's links, as JSON, that have a text."""
-    return _walked(table(spark, base, "snapshots").where("delivery = 1"))
-
-
-def json_walk_all(spark: SparkSession, base: str) -> DataFrame:
-    """The same over all deliveries; a snapshot_id is in one only."""
+    """Objects of the snapshots' links, as JSON, that have a text."""
     return _walked(table(spark, base, "snapshots"))
 
 
@@ -72,12 +67,11 @@ def politeness_fold(spark: SparkSession, base: str) -> DataFrame:
     return streams.politeness(log)
 
 
-QUERIES = {f.__name__: f for f in (manifest_project, url_captures, json_walk, json_walk_all, grounding, docstring_exports, stream_windows, stream_snapshots, politeness_fold)}
+QUERIES = {f.__name__: f for f in (manifest_project, url_captures, json_walk, grounding, docstring_exports, stream_windows, stream_snapshots, politeness_fold)}
 ORACLES = {
     "manifest_project": "SELECT event_id, true AS matched, 'https://api.example/v1/' || user_id || '?t=' || event_type AS request_url, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(user_id AS VARCHAR) AS user, substr(event_type, 1, 4) AS kind, coalesce(json_extract_string(props, '$.k'), 'none') AS label FROM events",
     "url_captures": r"SELECT doc_id, regexp_matches(url, '^https?://[^/.?#]+\.example/[^/?#]+/[^/?#]+/?([?#].*)?$') AS matched, regexp_extract(url, '^https?://([^/.?#]+)\.example/([^/?#]+)/([^/?#]+)/?(?:[?#].*)?$', 1) AS source, regexp_extract(url, '^https?://([^/.?#]+)\.example/([^/?#]+)/([^/?#]+)/?(?:[?#].*)?$', 2) AS section, regexp_extract(url, '^https?://([^/.?#]+)\.example/([^/?#]+)/([^/?#]+)/?(?:[?#].*)?$', 3) AS slug FROM documents WHERE url IS NOT NULL",
-    "json_walk": "WITH l AS (SELECT snapshot_id, unnest(links) AS l, generate_subscripts(links, 1) AS p FROM snapshots WHERE delivery = 1), f AS (SELECT snapshot_id, l.url AS href, p FROM l WHERE l.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, l.url ORDER BY p) = 1) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY p) - 1 AS pos, href FROM f",
-    "json_walk_all": "WITH l AS (SELECT snapshot_id, unnest(links) AS l, generate_subscripts(links, 1) AS p FROM snapshots), f AS (SELECT snapshot_id, l.url AS href, p FROM l WHERE l.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, l.url ORDER BY p) = 1) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY p) - 1 AS pos, href FROM f",
+    "json_walk": "WITH l AS (SELECT snapshot_id, unnest(links) AS l, generate_subscripts(links, 1) AS p FROM snapshots), f AS (SELECT snapshot_id, l.url AS href, p FROM l WHERE l.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, l.url ORDER BY p) = 1) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY p) - 1 AS pos, href FROM f",
     "docstring_exports": "SELECT * FROM (VALUES ('add', 'function', 'Adds.', 'a,b', 1), ('Box', 'class', 'A box.', '', 9)) t(name, kind, description, params, line)",
     "stream_snapshots": "WITH s AS (SELECT hash(paragraphs) AS h, lag(hash(paragraphs)) OVER w AS b, row_number() OVER w AS k FROM snapshots WINDOW w AS (PARTITION BY url, coalesce(snapshot_name, '') ORDER BY delivery, taken_at, snapshot_id)) SELECT CASE WHEN k = 1 THEN 'first' WHEN h = b THEN 'same' ELSE 'changed' END AS change, count(*) AS snapshots FROM s GROUP BY 1",
 }

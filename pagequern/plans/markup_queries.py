@@ -94,7 +94,7 @@ def source_resolution(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (head_links, head_links_pages, other_markups, llm_render, pattern_matches, extract_selector, extract_cosine, context_packages, api_symbols, operation_search, source_resolution)}
 ORACLES = {
-    "head_links": "SELECT * FROM (VALUES ('refresh', 'https://s.example/next', true), ('alternate', 'https://s.example/a.md', true), ('alternate', 'https://s.example/d/b.html', false), ('agent', 'https://s.example/d/p.md', true), ('agent', 'https://s.example/llms.txt', true), ('picked', 'https://s.example/a.md', true)) t(kind, target, flag)",
+    "head_links": "SELECT * FROM (VALUES ('refresh', 'https://s.example/next', true), ('alternate', 'https://s.example/a.md', true), ('alternate', 'https://s.example/d/b.html', false), ('agent', 'https://s.example/d/p.html.md', true), ('agent', 'https://s.example/llms.txt', true), ('picked', 'https://s.example/a.md', true)) t(kind, target, flag)",
     "other_markups": "SELECT * FROM (VALUES ('rst', 'Title', 1), ('rst', 'Part one', 6), ('mdx', 'Card', 0), ('mdx', 'Tabs.Item', 1), ('stripped', '# Head', 0)) t(kind, name, line)",
     "llm_render": "SELECT scrape_id, sha256(concat_ws(chr(10) || chr(10), '# ' || nullif(title, ''), nullif(text, ''), CASE WHEN site IS NOT NULL OR charset IS NOT NULL THEN 'Metadata:' || chr(10) || concat_ws(chr(10), 'charset: ' || charset, 'site: ' || site) END)) AS hash FROM scrapes",
     "pattern_matches": r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, 'https?://[a-z]+\.example/[a-z0-9/-]+'), lambda x: contains(x, '-'))))[1:5], ' ') AS links FROM documents WHERE text IS NOT NULL AND len(list_filter(regexp_extract_all(text, 'https?://[a-z]+\.example/[a-z0-9/-]+'), lambda x: contains(x, '-'))) > 0",

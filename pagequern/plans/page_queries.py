@@ -123,6 +123,6 @@ SELECT scrape_id, round(density, 6) AS density, sparse, spa, blocked, NOT blocke
 array_to_string(list_filter([CASE WHEN blocked THEN 'blocked_signal' END, CASE WHEN spa THEN 'spa_marker' END, CASE WHEN sparse THEN 'sparse_dom' END, CASE WHEN d > n THEN 'rich_data_islands' END], lambda x: x IS NOT NULL), ',') AS reasons FROM e""",
     "url_tree": f"WITH {KEYED}, u AS (SELECT DISTINCT url_key AS u, site_host FROM keyed) SELECT site_host AS host, coalesce(({_SEG.format('u')})[1], '/') AS section, count(*) AS urls, min(u) AS first_url, max(u) AS last_url FROM u GROUP BY ALL",
     "landmark_counts": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?i)<{t}[\\s>]')) AS {t}" for t in ["main", "nav", "header", "footer", "aside", "article", "section", "form"]) + " FROM pages",
-    "path_labels": f"SELECT doc_id, coalesce(({_SEG.format('url')})[-1], regexp_extract(url, '://([^/:?#]*)', 1)) AS label, len({_SEG.format('url')}) AS depth, regexp_replace(coalesce(({_SEG.format('url')})[-1], regexp_extract(url, '://([^/:?#]*)', 1)), '[^A-Za-z0-9._-]+', '_', 'g') AS safe_label FROM documents WHERE url IS NOT NULL",
+    "path_labels": f"SELECT doc_id, coalesce(({_SEG.format('url')})[-1], regexp_extract(url, '://([^/:?#]*)', 1)) AS label, len({_SEG.format('url')}) AS depth, regexp_replace(coalesce(({_SEG.format('url')})[-1], regexp_extract(url, '://([^/:?#]*)', 1)), '[^A-Za-z0-9._-]', '_', 'g') AS safe_label FROM documents WHERE url IS NOT NULL",
     "url_safety": "WITH l AS (SELECT unnest(['http://localhost/a','http://10.1.2.3/','http://172.20.0.1/x','http://192.168.1.1','http://169.254.169.254/latest','ftp://a.example/x','http://8.8.8.8/','http://printer.local/','not a url','http://100.64.0.1/','http://[::1]/','http://203.0.113.9/']) AS url, unnest(['local_host','private_address','private_address','private_address','private_address','scheme','ok','local_host','invalid_url','private_address','private_address','private_address']) AS verdict) SELECT DISTINCT url, CASE WHEN url IS NULL OR NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'invalid_url' ELSE 'ok' END AS verdict FROM scrapes UNION ALL SELECT url, verdict FROM l",
 }

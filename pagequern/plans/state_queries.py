@@ -97,10 +97,6 @@ def _links(snapshots: DataFrame) -> DataFrame:
 
 
 def _edges(spark: SparkSession, base: str) -> DataFrame:
-    return _links(table(spark, base, "snapshots").where("delivery = 1")).drop("delivery")
-
-
-def _edges_all(spark: SparkSession, base: str) -> DataFrame:
     return _links(table(spark, base, "snapshots"))
 
 
@@ -109,44 +105,19 @@ def _may_enter() -> Column:
 
 
 def frontier_admit(spark: SparkSession, base: str) -> DataFrame:
-    """Links of the first delivery that may enter the frontier of their page's site, by page."""
-    return _edges(spark, base).where(_may_enter()).groupBy("src").agg(F.count_distinct("dst").alias("admitted"))
-
-
-def frontier_admit_all(spark: SparkSession, base: str) -> DataFrame:
-    """The same of every delivery."""
-    return _edges_all(spark, base).where(_may_enter()).groupBy("delivery", "src").agg(F.count_distinct("dst").alias("admitted"))
+    """Links that may enter the frontier of their page's site, by delivery and page."""
+    return _edges(spark, base).where(_may_enter()).groupBy("delivery", "src").agg(F.count_distinct("dst").alias("admitted"))
 
 
 def best_first(spark: SparkSession, base: str) -> DataFrame:
-    """The turn of every link of a page of the first delivery under best-first order."""
-    e = _edges(spark, base).select(F.col("src").alias("seed"), F.col("dst").alias("url"), F.lit(1).alias("depth"), F.col("pos").alias("seq"))
-    return crawl.frontier_order(e, "best-first").select("seed", "url", "seq", "turn")
-
-
-def best_first_all(spark: SparkSession, base: str) -> DataFrame:
-    """The same of every delivery: a page's links of each delivery have turns of their own."""
-    e = _edges_all(spark, base).select(F.struct("delivery", "src").alias("seed"), F.col("dst").alias("url"), F.lit(1).alias("depth"), F.col("pos").alias("seq"))
+    """The turn of every link of a page under best-first order, by delivery."""
+    e = _edges(spark, base).select(F.struct("delivery", "src").alias("seed"), F.col("dst").alias("url"), F.lit(1).alias("depth"), F.col("pos").alias("seq"))
     return crawl.frontier_order(e, "best-first").select("seed.delivery", F.col("seed.src").alias("seed"), "url", "seq", "turn")
 
 
-_GRAPH = "a>b,a>c,b>d,c>d,d>e,e>a,b>c,f>g"
-
-
 def crawl_bfs(spark: SparkSession, base: str) -> DataFrame:
-    """Breadth-first levels over a small graph (the tables' links seldom meet another page) and over the
-    first delivery's links, counted by depth."""
-    small = spark.createDataFrame([(x[0], i, x[2]) for i, x in enumerate(_GRAPH.split(","))], "src string, pos int, dst string")
-    levels = crawl.crawl_levels(small, spark.createDataFrame([("a",)], "url string"), 3)
-    e = _edges(spark, base)
-    seeds = e.select(F.col("src").alias("url")).distinct()
-    over = crawl.crawl_levels(e, seeds, 1)
-    return levels.select(F.lit("small").alias("graph"), "url", "depth", "parent").unionByName(over.groupBy("depth").agg(F.count("*").cast("string").alias("url")).select(F.lit("links").alias("graph"), "url", "depth", F.lit(None).cast("string").alias("parent")))
-
-
-def crawl_bfs_all(spark: SparkSession, base: str) -> DataFrame:
     """Breadth-first levels over the links of all deliveries, counted by depth."""
-    e = _edges_all(spark, base)
+    e = _edges(spark, base)
     over = crawl.crawl_levels(e.select("src", "dst", "pos"), e.select(F.col("src").alias("url")).distinct(), 1)
     return over.groupBy("depth").agg(F.count("*").alias("pages"))
 
@@ -205,7 +176,7 @@ def event_sessions(spark: SparkSession, base: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (cache_asof, staleness_bucket, fresh_aggregate, recommended_action, crawl_list, latest_snapshot, store_upsert, state_delta, storage_stats, batch_summary, frontier_admit, frontier_admit_all, best_first, best_first_all, crawl_bfs, crawl_bfs_all, redirects, redirects_snapshots, context_parents, site_files, politeness_slots, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (cache_asof, staleness_bucket, fresh_aggregate, recommended_action, crawl_list, latest_snapshot, store_upsert, state_delta, storage_stats, batch_summary, frontier_admit, best_first, crawl_bfs, redirects, redirects_snapshots, context_parents, site_files, politeness_slots, event_windows, event_sessions)}
 
 from pagequern.plans.snapshot_queries import KEYED  # noqa: E402
 
@@ -215,9 +186,7 @@ def _age(col: str, now: str = _NOW) -> str:
 
 
 _CB = "CASE WHEN {0} < 86400 THEN 'fresh' WHEN {0} < 604800 THEN 'aging' WHEN {0} < 2592000 THEN 'stale' ELSE 'expired' END"
-_EDGE = f"""WITH {KEYED}, raw AS (SELECT url_key AS src, unnest(list_transform(links, lambda x: x.url)) AS url, generate_subscripts(links, 1) - 1 AS pos FROM keyed WHERE delivery = 1),
-{KEYED.replace('keyed AS', 'keyed2 AS').replace('FROM snapshots', 'FROM raw WHERE url IS NOT NULL')}, e AS (SELECT src, pos, url_key AS dst, site_host AS dhost, regexp_extract(src, '://([^/:?#]*)', 1) AS shost FROM keyed2)"""
-_EDGE_ALL = f"""WITH {KEYED}, raw AS (SELECT delivery, url_key AS src, unnest(list_transform(links, lambda x: x.url)) AS url, generate_subscripts(links, 1) - 1 AS pos FROM keyed),
+_EDGE = f"""WITH {KEYED}, raw AS (SELECT delivery, url_key AS src, unnest(list_transform(links, lambda x: x.url)) AS url, generate_subscripts(links, 1) - 1 AS pos FROM keyed),
 {KEYED.replace('keyed AS', 'keyed2 AS').replace('FROM snapshots', 'FROM raw WHERE url IS NOT NULL')}, e AS (SELECT delivery, src, pos, url_key AS dst, site_host AS dhost, regexp_extract(src, '://([^/:?#]*)', 1) AS shost FROM keyed2)"""
 _BF = """40 + CASE WHEN p IN ('', '/') OR regexp_matches(p, '^/index\\.\\w+$') THEN 5 WHEN len(list_filter(string_split(p, '/'), lambda x: x <> '')) <= 1 THEN 3 ELSE 0 END + CASE WHEN contains(dst, '#') THEN 1 ELSE 0 END"""
 ORACLES = {
@@ -232,14 +201,10 @@ SELECT *, CASE WHEN status IN ('running', 'paused') AND staleness NOT IN ('stale
     "store_upsert": "SELECT url, scrape_id, sha256 FROM scrapes WHERE fetched_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, scrape_id DESC) = 1",
     "state_delta": "WITH a AS (SELECT DISTINCT url FROM snapshots WHERE delivery = 1), b AS (SELECT DISTINCT url FROM snapshots WHERE delivery = 2) SELECT url, 'insert' AS op FROM b ANTI JOIN a USING (url) UNION ALL SELECT url, 'delete' AS op FROM a ANTI JOIN b USING (url)",
     "storage_stats": "SELECT CASE WHEN k LIKE '%html%' THEN '.html' WHEN k LIKE '%json%' THEN '.json' WHEN k LIKE '%markdown%' THEN '.md' WHEN k LIKE '%pdf%' THEN '.pdf' WHEN k LIKE 'text/%' THEN '.txt' ELSE '.bin' END AS extension, substr(sha256(text), 1, 1) AS shard, count(*) AS files, sum(strlen(text)) AS bytes FROM (SELECT text, lower(trim(string_split(content_type, ';')[1])) AS k FROM scrapes WHERE text IS NOT NULL) GROUP BY ALL",
-    "batch_summary": f"WITH {KEYED.replace('FROM snapshots', 'FROM scrapes')}, k AS (SELECT site, coalesce(url_key, '') AS k, count(*) AS asked, max(status_code) AS status FROM keyed GROUP BY ALL) SELECT site, sum(asked) AS requests, count(*) AS fetched, sum(asked - 1) AS cache_hits, count(*) FILTER (status >= 400) AS failed, count(*) FILTER (status IN (408, 425, 429, 500, 502, 503, 504)) AS retryable FROM k GROUP BY site",
-    "frontier_admit": f"{_EDGE} SELECT src, count(DISTINCT dst) AS admitted FROM e WHERE dhost = shost AND NOT contains(dst, '-adapter-') GROUP BY src",
-    "best_first": f"{_EDGE}, s AS (SELECT *, regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM e) SELECT src AS seed, dst AS url, pos AS seq, row_number() OVER (PARTITION BY src ORDER BY {_BF} DESC, pos, dst) AS turn FROM s",
-    "frontier_admit_all": f"{_EDGE_ALL} SELECT delivery, src, count(DISTINCT dst) AS admitted FROM e WHERE dhost = shost AND NOT contains(dst, '-adapter-') GROUP BY ALL",
-    "best_first_all": f"{_EDGE_ALL}, s AS (SELECT *, regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM e) SELECT delivery, src AS seed, dst AS url, pos AS seq, row_number() OVER (PARTITION BY delivery, src ORDER BY {_BF} DESC, pos, dst) AS turn FROM s",
-    "crawl_bfs_all": f"{_EDGE_ALL}, seeds AS (SELECT DISTINCT src AS url FROM e) SELECT 0 AS depth, count(*) AS pages FROM seeds UNION ALL SELECT 1, n FROM (SELECT count(DISTINCT dst) AS n FROM e WHERE dst NOT IN (SELECT url FROM seeds)) WHERE n > 0",
-    "crawl_bfs": f"""{_EDGE}, sm AS (SELECT * FROM (VALUES ('a', 0, NULL), ('b', 1, 'a'), ('c', 1, 'a'), ('d', 2, 'b'), ('e', 3, 'd')) t(url, depth, parent)), seeds AS (SELECT DISTINCT src AS url FROM e)
-SELECT 'small' AS graph, url, depth, parent FROM sm UNION ALL SELECT 'links', CAST((SELECT count(*) FROM seeds) AS VARCHAR), 0, NULL UNION ALL SELECT 'links', CAST(n AS VARCHAR), 1, NULL FROM (SELECT count(DISTINCT dst) AS n FROM e WHERE dst NOT IN (SELECT url FROM seeds)) WHERE n > 0""",
+    "batch_summary": f"WITH {KEYED.replace('FROM snapshots', 'FROM scrapes')}, k AS (SELECT site, coalesce(url_key, '') AS k, count(*) AS asked, max(status_code) AS status FROM keyed GROUP BY ALL) SELECT site, sum(asked) AS requests, count(*) AS fetched, sum(asked - 1) AS cache_hits, count(*) FILTER (status >= 400) AS failed, count(*) FILTER (status IN (408, 429, 500, 502, 503, 504)) AS retryable FROM k GROUP BY site",
+    "frontier_admit": f"{_EDGE} SELECT delivery, src, count(DISTINCT dst) AS admitted FROM e WHERE dhost = shost AND NOT contains(dst, '-adapter-') GROUP BY ALL",
+    "best_first": f"{_EDGE}, s AS (SELECT *, regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM e) SELECT delivery, src AS seed, dst AS url, pos AS seq, row_number() OVER (PARTITION BY delivery, src ORDER BY {_BF} DESC, pos, dst) AS turn FROM s",
+    "crawl_bfs": f"{_EDGE}, seeds AS (SELECT DISTINCT src AS url FROM e) SELECT 0 AS depth, count(*) AS pages FROM seeds UNION ALL SELECT 1, n FROM (SELECT count(DISTINCT dst) AS n FROM e WHERE dst NOT IN (SELECT url FROM seeds)) WHERE n > 0",
     "redirects": """WITH RECURSIVE h(url, target) AS (VALUES ('a','b'),('b','c'),('x','y'),('y','x'),('s','s'),('n0','n1'),('n1','n2'),('n2','n3'),('n3','n4'),('n4','n5'),('n5','n6'),('n6','n7'),('n7','n8'),('n8','n9')),
 r AS (SELECT url, target AS final, [url, target] AS path, 1 AS k FROM h UNION ALL SELECT r.url, h.target, list_append(r.path, h.target), k + 1 FROM r JOIN h ON h.url = r.final WHERE k < 6 AND r.url <> r.final AND NOT list_contains(r.path, h.target)),
 l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY k DESC) = 1)

@@ -97,8 +97,8 @@ def markdown_sections(spark: SparkSession, base: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
-    """The paragraphs of each English document that fit the query best."""
-    paragraphs = _docs(spark, base).where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    """The paragraphs of each document that fit the query best."""
+    paragraphs = _docs(spark, base).select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("blocks"))
     top = ranking.cosine_top(paragraphs, QUERY, top=3, least=0.05)
     return top.select(F.col("doc").alias("doc_id"), "block", F.round("score", 6).alias("score"))
 
@@ -186,7 +186,7 @@ length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
     "markdown_links": rf"""SELECT input_id, line_no, regexp_extract(m, '\[([^\]]+)\]\(([^)\s]+)', 1) AS label, regexp_extract(m, '\[([^\]]+)\]\(([^)\s]+)', 2) AS href, count(*) AS n FROM (SELECT input_id, line_no, unnest(regexp_extract_all(line, '\[[^\]]+\]\([^)\s]+(?:\s+"[^"]*")?\)')) AS m FROM {_ML}) GROUP BY ALL""",
     "markdown_code": f"SELECT input_id, line_no, nullif(trim(substr(line, 4)), '') AS language, close - line_no - 1 AS code_lines FROM (SELECT *, row_number() OVER w AS k, lead(line_no) OVER w AS close FROM {_ML} WHERE line LIKE '```%' WINDOW w AS (PARTITION BY input_id ORDER BY line_no)) WHERE k % 2 = 1 AND close IS NOT NULL",
     "markdown_sections": f"WITH h AS {_HEADS} SELECT a.input_id, a.line_no, a.level, min(b.line_no) AS end_no FROM h a LEFT JOIN h b ON a.input_id = b.input_id AND b.line_no > a.line_no AND b.level <= a.level GROUP BY ALL",
-    "cosine_topk": rf"""WITH b AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND lang = 'en')),
+    "cosine_topk": rf"""WITH b AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, block, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s''-]', ' ', 'g'), '\s+'), lambda y: length(y) > 1) AS w FROM b),
 e AS (SELECT doc_id, block, len(w) AS n, unnest(w) AS term FROM t), tf AS (SELECT doc_id, block, term, count(*) / any_value(n) AS tf FROM e GROUP BY ALL),
 sz AS (SELECT doc_id, count(*) AS blocks FROM b GROUP BY doc_id), idf AS (SELECT doc_id, term, ln((any_value(blocks) + 1) / (count(*) + 1)) + 1 AS idf FROM tf JOIN sz USING (doc_id) GROUP BY doc_id, term),

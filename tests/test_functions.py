@@ -132,3 +132,26 @@ def test_manifest(spark):
 def test_politeness(spark):
     log = spark.createDataFrame([("h", i, s) for i, s in enumerate([200, 429, 429, 200, 500])] + [("g", 0, 429)], "host string, seq bigint, status int")
     assert {r["host"]: r["limit"] for r in streams.politeness(log, 4).collect()} == {"h": 2, "g": 2}
+
+
+def test_blocks_reach_for_gaps_and_stops():
+    word = "w" * 9 + " "
+    near = word * 52 + "end.\n\nNext" + word * 60
+    (_, first, _), *_ = ranking.split_blocks(near)
+    assert near[:first].endswith("end.\n\n")
+    stop = word * 53 + "x. " + word * 80
+    assert stop[: ranking.split_blocks(stop)[0][1]].endswith("x.")
+    far = word * 70 + "x. " + word * 80
+    assert ranking.split_blocks(far)[0][1] == 512
+    # a gap wider than what is seen ahead doesn't count
+    assert ranking.split_blocks("a" * 520 + "\n" + " " * 300 + "\n" + "b" * 900)[0][1] == 512
+    assert ranking.split_blocks(" " * 2000) == [] and ranking.split_blocks("  a ") == [(0, 4, "  a ")]
+
+
+def test_ranking_without_shuffle(spark):
+    rows = [(1, ["alpha beta", "beta gamma", None, ""]), (2, None), (3, []), (1, ["alpha"])]
+    df = spark.createDataFrame(rows, "doc bigint, blocks array<string>")
+    top = ranking.cosine_top(df, "alpha", top=2)
+    assert [(r["doc"], r["block"], r["rank"]) for r in top.collect()] == [(1, 0, 1), (1, 1, 2), (1, 0, 1)]
+    assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
+    assert ranking.cosine_top(df, " ").count() == 0

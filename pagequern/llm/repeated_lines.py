@@ -1,13 +1,16 @@
-"""Lines repeated across one site's documents (problem 5).
-
-PrefixSpan over line-identifier sequences: a document is the sequence of its normalised lines' hashes.
-Level 1 finds each source's frequent lines; sequences are pruned to those, and each further level extends
-the frequent sequences of the level before by the line that follows in the pruned sequence. Support is the
-number of distinct documents. Every level is one explode and two hash aggregations keyed by source,
-sequence and document, so a source that holds a third of all rows is spread like any other.
-
-Occurrences of frequent sequences are deleted. Support can't grow as a sequence gets longer, so every line
-of a frequent sequence is itself frequent: the single lines already cover all that the longer ones do.
+"""Lines repeated across one site's documents (problem 5): distributed PrefixSpan.
+
+A document is the sequence of its normalised lines' hashes, per source. The sequences are pruned to lines
+that are frequent by themselves, and equal ones of a document become one. Then prefixes grow: a prefix's
+projected database holds, of every sequence with it, the place where its first occurrence ends; each line
+behind that place is a possible next one, and those with enough distinct documents make the next level, until
+a level is empty. Gaps are allowed, and no length is set. A level is one explode and two hash aggregations
+keyed by source, sequence and document, so a source that holds a third of all rows is spread like any other.
+
+What is deleted are the occurrences of frequent sequences: at every level, each place where such a sequence
+can end in a document is marked, and the marks of all levels return to the rows. Of the sequences whose
+projected databases are the same only one is grown (their continuations are the same), which keeps pages of
+one fixed frame from growing every subset of its lines; the marks don't change by that. p5_patterns grows all.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from pagequern.session import measured_join, settle, table
 
 MIN_DOCUMENTS = 4
 MIN_SHARE = 0.2
-#: Longest sequence of lines that is reported.
-MAX_LENGTH = 3
 
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -46,49 +47,67 @@ def line_sequences(docs: DataFrame, *, row_id: str, source: Column, document: Co
     )
 
 
-def _supported(grams: DataFrame, sizes: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    """grams (s, doc, g) -> (s, g, n) with enough distinct documents."""
-    counted = grams.groupBy("s", "g", "doc").agg(F.lit(1).alias("one")).groupBy("s", "g").agg(F.count("*").alias("n"))
-    return measured_join(counted.where(F.col("n") >= min_documents), sizes, ["s"]).where(F.col("n") >= F.col("docs") * min_share - 1e-9).select("s", "g", "n")
+def _supported(grown: DataFrame, sizes: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    """grown (s, doc, g, ends, ...) -> (s, g, n, low, high) of the sequences with enough distinct documents;
+    low and high are sums that tell their projected databases apart."""
+    entry = F.xxhash64("doc", "k", F.array_min("ends"))
+    by_doc = grown.groupBy("s", "g", "doc").agg(F.sum(entry.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(entry, 32)).alias("high"))
+    counted = by_doc.groupBy("s", "g").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    return measured_join(counted.where(F.col("n") >= min_documents), sizes, ["s"]).where(F.col("n") >= F.col("docs") * min_share - 1e-9).drop("docs")
+
+
+def _grown(projected: DataFrame) -> DataFrame:
+    """A row for every line behind a prefix's first end: the longer sequence, and all places where it ends."""
+    places = F.sequence(F.lit(0), F.size("q") - 1)
+    behind = F.filter(places, lambda j: j > F.col("at"))
+    lines = F.array_distinct(F.transform(behind, lambda j: F.get("q", j)))
+    steps = F.transform(lines, lambda x: F.struct(x.alias("x"), F.filter(behind, lambda j: F.get("q", j) == x).alias("ends")))
+    out = projected.where(F.col("at") + 1 < F.size("q")).select("s", "doc", "k", "q", "g", F.explode(steps).alias("t"))
+    return out.select("s", "doc", "k", "q", F.when(F.col("g").isNull(), F.col("t.x")).otherwise(F.xxhash64("g", "t.x")).alias("g"), "t.ends")
 
 
-def frequent_sequences(sequences: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, max_length: int = MAX_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(patterns, marked): patterns (s, g, length, n), and the rows with f, the positions and hashes of
-    their frequent lines in order. g is a line's hash, or for longer sequences that of prefix and line."""
-    sizes = sequences.groupBy("s", "doc").agg(F.lit(1).alias("one")).groupBy("s").agg(F.count("*").alias("docs"))
-    single = _supported(sequences.select("s", "doc", F.explode(F.array_distinct(F.filter("h", lambda x: x.isNotNull()))).alias("g")), sizes, min_documents, min_share)
-    patterns = settle(single.select("s", "g", F.lit(1).alias("length"), "n"))
+def frequent_sequences(sequences: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, grow_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(patterns, marked): patterns (s, g, length, n) are the frequent sequences, without those that continue
+    one whose projected database another has too unless grow_all; g is a line's hash, or of longer sequences
+    that of prefix and line. marked (row_id, f): the places in each row's lines at which occurrences of
+    frequent sequences lie, in no order; rows without any are missing.
+    """
+    sizes = settle(sequences.groupBy("s", "doc").agg(F.lit(1).alias("one")).groupBy("s").agg(F.count("*").alias("docs")))
+    lines = sequences.select("s", "doc", F.explode(F.array_distinct(F.filter("h", lambda x: x.isNotNull()))).alias("x"))
+    known = lines.groupBy("s", "x", "doc").agg(F.lit(1).alias("one")).groupBy("s", "x").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    known = measured_join(known, sizes, ["s"]).where(F.col("n") >= F.col("docs") * min_share - 1e-9)
     # a source has at most 1 / min_share times its lines a document of such lines: the list is short
-    lists = patterns.groupBy("s").agg(F.collect_list("g").alias("known"))
-    marked = measured_join(sequences, lists, ["s"], "left")
-    pairs = F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("g")))
-    marked = marked.withColumn("f", F.filter(pairs, lambda p: F.array_contains("known", p["g"]))).drop("known", "h")
-    if max_length > 1:
-        marked = settle(marked)
-    found = patterns
-    level = patterns
-    for length in range(2, max_length + 1):
-        last = F.size("f") - (length - 1)
-        at = F.transform(
-            F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.xxhash64(F.transform(F.slice("f", i, F.lit(length)), lambda p: p["g"])),
-        )
-        before = F.transform(
-            F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.xxhash64(F.transform(F.slice("f", i, F.lit(length - 1)), lambda p: p["g"])) if length > 2 else F.element_at("f", i)["g"],
-        )
-        grams = marked.select("s", "doc", F.explode(F.array_distinct(F.arrays_zip(before.alias("b"), at.alias("g")))).alias("x")).select("s", "doc", "x.b", "x.g")
-        grown = measured_join(grams, level.select("s", F.col("g").alias("b")), ["s", "b"], "left_semi")
-        level = settle(_supported(grown.select("s", "doc", "g"), sizes, min_documents, min_share).select("s", "g", F.lit(length).alias("length"), "n"))
-        found = found.unionByName(level)
-        if level.isEmpty():
+    lists = known.groupBy("s").agg(F.collect_list("x").alias("known"))
+    kept = F.filter(F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda p: F.array_contains("known", p["x"]))
+    pruned = measured_join(sequences, lists, ["s"]).select("row_id", "s", "doc", kept.alias("f")).where(F.size("f") > 0)
+    pruned = settle(pruned.select("row_id", "s", "doc", F.col("f.pos").alias("pos"), F.col("f.x").alias("q")).withColumn("k", F.xxhash64("q")))
+
+    projected = pruned.groupBy("s", "doc", "k").agg(F.first("q").alias("q")).select("s", "doc", "k", "q", F.lit(None).cast("bigint").alias("g"), F.lit(-1).alias("at"))
+    patterns = marks = None
+    length = 0
+    while True:
+        length += 1
+        grown = _grown(projected)
+        level = settle(_supported(grown, sizes, min_documents, min_share))
+        if level.isEmpty() and patterns is not None:
             break
-    return found, marked
+        held = settle(measured_join(grown, level.select("s", "g"), ["s", "g"], "left_semi"))
+        found = level.select("s", "g", F.lit(length).alias("length"), "n")
+        patterns = found if patterns is None else patterns.unionByName(found)
+        ends = held.select("s", "k", F.explode("ends").alias("j"))
+        marks = ends if marks is None else marks.unionByName(ends)
+        if not grow_all:
+            one = level.groupBy("s", "n", "low", "high").agg(F.min("g").alias("g")).select("s", "g")
+            held = measured_join(held, one, ["s", "g"], "left_semi")
+        projected = held.select("s", "doc", "k", "q", "g", F.array_min("ends").alias("at"))
+    places = marks.groupBy("s", "k", "j").agg(F.lit(1).alias("one")).groupBy("s", "k").agg(F.collect_list("j").alias("places"))
+    marked = measured_join(pruned.select("row_id", "s", "k", "pos"), places, ["s", "k"])
+    return patterns, marked.select("row_id", F.transform("places", lambda j: F.get("pos", j)).alias("f"))
 
 
 def repeated_positions(marked: DataFrame) -> DataFrame:
-    """(row id, pos) of every line that is part of a frequent sequence."""
-    return marked.select("row_id", F.explode("f.pos").alias("pos"))
+    """(row id, pos) of every line that lies in an occurrence of a frequent sequence."""
+    return marked.select("row_id", F.explode("f").alias("pos"))
 
 
 def snapshot_sequences(snapshots: DataFrame) -> DataFrame:
@@ -102,8 +121,8 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_patterns(spark: SparkSession, base: str) -> DataFrame:
-    """Number of frequent sequences by length, over all sources."""
-    found, _ = frequent_sequences(snapshot_sequences(table(spark, base, "snapshots")))
+    """Number of frequent sequences by length, over all sources, and the documents they have."""
+    found, _ = frequent_sequences(snapshot_sequences(table(spark, base, "snapshots")), grow_all=True)
     return found.groupBy("length").agg(F.count("*").alias("patterns"), F.sum("n").alias("documents"))
 
 
@@ -111,7 +130,7 @@ def p5_clean(spark: SparkSession, base: str) -> DataFrame:
     """Each row's paragraphs without the repeated ones (NULL stays NULL)."""
     snapshots = table(spark, base, "snapshots")
     _, marked = frequent_sequences(snapshot_sequences(snapshots))
-    at = marked.select(F.col("row_id").alias("snapshot_id"), F.col("f.pos").alias("drop"))
+    at = marked.select(F.col("row_id").alias("snapshot_id"), F.col("f").alias("drop"))
     kept = F.filter("paragraphs", lambda x, i: ~F.array_contains("drop", i))
     return snapshots.join(at, "snapshot_id", "left").select("snapshot_id", F.when(F.col("drop").isNull(), F.col("paragraphs")).otherwise(kept).alias("paragraphs"))
 
@@ -140,4 +159,10 @@ frequent AS (
 ORACLES = {
     "p5_found": f"{_LINES} SELECT snapshot_id, pos FROM lines SEMI JOIN frequent USING (site, line)",
     "p5_clean": f"{_LINES} SELECT k.snapshot_id, CASE WHEN k.paragraphs IS NULL THEN NULL ELSE coalesce(kept, []) END AS paragraphs FROM keyed k LEFT JOIN (SELECT l.snapshot_id, list(s.paragraphs[l.pos + 1] ORDER BY l.pos) AS kept FROM lines l ANTI JOIN frequent USING (site, line) JOIN snapshots s ON s.snapshot_id = l.snapshot_id GROUP BY l.snapshot_id) USING (snapshot_id)",
+    "p5_patterns": f"""{_LINES},
+rows_ AS (SELECT site, page, snapshot_id, list(line ORDER BY pos) AS q FROM lines SEMI JOIN frequent USING (site, line) GROUP BY ALL),
+seqs AS (SELECT DISTINCT site, page, q FROM rows_),
+subs AS (SELECT site, page, list_transform(list_filter(range(len(q)), lambda i: (m >> i) & 1 = 1), lambda i: q[i + 1]) AS p FROM (SELECT site, page, q, unnest(range(1, 1 << len(q))) AS m FROM seqs)),
+counted AS (SELECT site, p, count(DISTINCT page) AS n FROM subs GROUP BY site, p)
+SELECT len(p) AS length, count(*) AS patterns, sum(n) AS documents FROM counted JOIN pages_ USING (site) WHERE n >= 4 AND n * 5 >= pages GROUP BY len(p)""",
 }

@@ -1,7 +1,9 @@
 """Edge cases and brute force of the training-data operators."""
 
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,10 +169,40 @@ def test_repeated_against_brute_force(spark):
     want = {(i, k) for i, s, _, ls, _ in rows for k, x in enumerate(ls or []) if x is not None and len(has[s, norm(x)]) >= max(4, 0.5 * len(pages[s]))}
     assert got == want and want
     assert patterns.where("length > 1").count() > 0
+    everything, again = repeated_lines.frequent_sequences(seq, 4, 0.5, grow_all=True)
+    assert {(r["row_id"], r["pos"]) for r in repeated_lines.repeated_positions(again).collect()} == want
+    found = Counter()
+    for site in pages:
+        support = {}
+        for _, s, p, ls, _ in rows:
+            if s == site:
+                q = [norm(x) for x in ls or [] if x is not None and len(has[s, norm(x)]) >= max(4, 0.5 * len(pages[s]))]
+                for k in range(1, len(q) + 1):
+                    for sub in itertools.combinations(q, k):
+                        support.setdefault(sub, set()).add(p)
+        found.update(len(sub) for sub, docs in support.items() if len(docs) >= max(4, 0.5 * len(pages[site])))
+    assert {r["length"]: r["n"] for r in everything.groupBy("length").agg(F.count("*").alias("n")).collect()} == dict(found)
     empty, none = repeated_lines.frequent_sequences(repeated_lines.line_sequences(df.limit(0), row_id="snapshot_id", source=F.col("site"), document=F.col("page"), lines=F.col("paragraphs")))
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_sequence_of_seven_lines_with_gaps(spark):
+    """It's found whole, with or without growing all, and its occurrences mark its lines and no other."""
+    frame = [f"line {c}" for c in "abcdefg"]
+    rows = []
+    for i in range(8):
+        own = [f"own {'xyzuvwrs'[i]}{'mnopqrst'[j]}" for j in range(7)]
+        rows.append((i, "s", f"p{i}", [x for pair in zip(frame, own, strict=True) for x in pair]))
+    df = spark.createDataFrame(rows, "row bigint, site string, page string, paragraphs array<string>")
+    seq = repeated_lines.line_sequences(df, row_id="row", source=F.col("site"), document=F.col("page"), lines=F.col("paragraphs"))
+    for grow_all in (True, False):
+        patterns, marked = repeated_lines.frequent_sequences(seq, grow_all=grow_all)
+        lengths = {r["length"]: r["count"] for r in patterns.groupBy("length").count().collect()}
+        assert max(lengths) == 7 and lengths[7] == 1 and lengths[1] == 7
+        assert (lengths[3] == 35) == grow_all
+        assert {(r["row_id"], r["pos"]) for r in repeated_lines.repeated_positions(marked).collect()} == {(i, k) for i in range(8) for k in range(0, 14, 2)}
+
+
 # 6 ----------------------------------------------------------------------------------------------------------
 
 

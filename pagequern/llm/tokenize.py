@@ -2,11 +2,13 @@
 
 Spark cuts texts into words with the tokenizer's pattern. A word that is a token takes its id from a literal
 rank map: an array of small maps, indexed by the word's CRC-32, so that a lookup costs one index and a scan
-of a few entries. All other words are made distinct over the corpus and encoded once: an aggregate() folds
-ranked merges over the array of a word's bytes, carrying the ranks of adjacent pairs along, so each step is
-one minimum and two lookups. Words longer than FOLD_BYTES, where folding is quadratic, go through the same
-merges with a heap. The encoded words return to the documents through a dictionary in the Python workers if
-their count is within DICTIONARY_WORDS, else through a join by word.
+of a few entries. All other words are made distinct over the corpus and encoded once. A word's bytes are cut
+where two bytes meet that no token holds side by side, as no merge can cross there; on each piece an
+aggregate() folds ranked merges over the array of its bytes, carrying the ranks of adjacent pairs along, so
+each step is one minimum and two lookups. Where the lowest pair occurs more than once and merging it can't
+make a pair of lower rank, all its occurrences merge in one step. Words of any length take this one way.
+The encoded words return to the documents through a dictionary in the Python workers if its bytes, which are
+added up first, are within DICTIONARY_BYTES, else through a join by word.
 
 Decoding looks each id up in a literal array of byte pieces and concatenates these.
 """
@@ -14,7 +16,7 @@ Decoding looks each id up in a literal array of byte pieces and concatenates the
 from __future__ import annotations
 
 import base64
-import heapq
+import itertools
 import json
 import os
 import zlib
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequern.session import settle, table
+from pagequern.session import bytes_of, settle, table
 
 TOKENIZER_DIR = os.environ.get("PAGEQUERN_TOKENIZERS", "/opt/tokenizers")
-FOLD_BYTES = 40
-DICTIONARY_WORDS = 1_000_000
+#: The dictionary of encoded words goes to the driver and the workers only up to this size.
+DICTIONARY_BYTES = 64 << 20
 BUCKETS = 8192
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -84,17 +86,57 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _flags(values: list[bool]) -> Column:
+    """A literal array of 0 and 1."""
+    return F.from_json(F.lit("[" + ",".join("1" if v else "0" for v in values) + "]"), "array<tinyint>")
+
+
+@cache
+def _neighbours(path: str) -> Column:
+    """By 256 times the first byte and the second: whether any token holds the two side by side."""
+    met = [False] * 65536
+    for token in load_ranks(path):
+        for a, b in itertools.pairwise(token):
+            met[a * 256 + b] = True
+    return _flags(met)
+
+
+@cache
+def _settled_ranks(path: str) -> Column:
+    """By rank: whether every token that begins or ends with that token has a higher rank, so that merging it
+    makes no pair that should have been merged before."""
+    ranks = load_ranks(path)
+    good = [True] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        for i in range(1, len(token)):
+            for part in (token[:i], token[i:]):
+                if ranks.get(part, -1) > r:
+                    good[ranks[part]] = False
+    return _flags(good)
+
+
+def _uncrossed(letters: Column, path: str) -> Column:
+    """An array of letters cut between letters that no token holds side by side."""
+    table_ = _neighbours(path)
+    places = F.when(F.size(letters) > 1, F.sequence(F.lit(1), F.size(letters) - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = F.filter(places, lambda i: F.get(table_, F.ascii(F.get(letters, i - 1)) * 256 + F.ascii(F.get(letters, i))) == 0)
+    return _let(
+        F.concat(F.array(F.lit(0)), cuts, F.array(F.size(letters))),
+        lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, k: F.slice(letters, a + 1, F.get(c, k + 1) - a)),
+    )
+
+
 def fold_merges(word: Column, path: str) -> Column:
     """Ids of one word: the pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
-    ranks = _piece_map(path)
+    ranks, settled_ = _piece_map(path), _settled_ranks(path)
 
     def rank(piece: Column) -> Column:
         return F.coalesce(_look(ranks, piece), F.lit(_NONE))
 
-    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.struct(letters.alias("p"), F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters)), lambda a, b: rank(F.concat(a, b))).alias("r"))
+    def start(letters: Column) -> Column:
+        return F.struct(letters.alias("p"), F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters)), lambda a, b: rank(F.concat(a, b))).alias("r"))
 
-    def merged(acc: Column, i: Column) -> Column:
+    def one(acc: Column, i: Column) -> Column:
         p, r, n = acc["p"], acc["r"], F.size(acc["p"])
         none = F.array().cast("array<int>")
         return _let(
@@ -110,48 +152,33 @@ def fold_merges(word: Column, path: str) -> Column:
             ),
         )
 
-    def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["r"]), lambda low: F.when(low.isNull() | (low == _NONE), acc).otherwise(_let(F.array_position(acc["r"], low).cast("int"), lambda i: merged(acc, i))))
-
-    steps = F.when(F.size(letters) > 1, F.sequence(F.lit(1), F.size(letters) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: F.transform(acc["p"], lambda x: _look(ranks, x)))
-
-
-def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges in n log n steps, for words of any length."""
-    n = len(word)
-    start, end, after, before = list(range(n)), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := ranks.get(word[start[i] : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[j]))
-
-    for i in range(n):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or end[j] != stop or not alive[i]:
-            continue
-        end[i], after[i], alive[j] = end[j], after[j], False
-        if after[j] < n:
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
+    def all_of(acc: Column, low: Column) -> Column:
+        # of pairs that overlap, every second one from the left is merged
+        p, r = acc["p"], acc["r"]
+        marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == low, "1").otherwise("0")), ""), "11", "1x"), "")
 
+        def joined(c: Column, kept: Column) -> Column:
+            pieces = F.transform(kept, lambda i: F.when(F.get(c, i) == "1", F.concat(F.get(p, i), F.get(p, i + 1))).otherwise(F.get(p, i)))
+            beside = lambda made: F.transform(
+                F.slice(kept, F.lit(2), F.size(kept)),
+                lambda j, k: F.when((F.get(c, F.get(kept, k)) == "1") | F.coalesce(F.get(c, j) == "1", F.lit(False)), rank(F.concat(F.get(made, k), F.get(made, k + 1)))).otherwise(F.get(r, j - 1)),
+            )
+            return _let(pieces, lambda made: F.struct(made.alias("p"), beside(made).alias("r")))
 
-def _long_words(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = load_ranks(path)
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [heap_merges(w.encode(), ranks) for w in pdf["word"]]})
+        return _let(marks, lambda c: _let(F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(c, i - 1) != "1")), lambda kept: joined(c, kept)))
 
-    return run
+    def merged(acc: Column, low: Column, i: Column) -> Column:
+        again = F.array_position(F.slice(acc["r"], i + 1, F.size(acc["r"])), low) > 0
+        return F.when(again & (F.get(settled_, low) == 1), all_of(acc, low)).otherwise(one(acc, i))
+
+    def step(acc: Column, _: Column) -> Column:
+        return _let(F.array_min(acc["r"]), lambda low: F.when(low.isNull() | (low == _NONE), acc).otherwise(_let(F.array_position(acc["r"], low).cast("int"), lambda i: merged(acc, low, i))))
+
+    def fold(letters: Column) -> Column:
+        steps = F.when(F.size(letters) > 1, F.sequence(F.lit(1), F.size(letters) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start(letters), step, lambda acc: F.transform(acc["p"], lambda x: _look(ranks, x)))
+
+    return _let(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda letters: F.flatten(F.transform(_uncrossed(letters, path), fold)))
 
 
 def _weave(dictionary):
@@ -191,7 +218,7 @@ def _weave_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": out})
 
 
-def encode_corpus(docs: DataFrame, path: str | None = None, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, path: str | None = None, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): the ids of the text without special tokens, whose strings are
     ordinary text; an empty list for NULL and empty texts. Repeated doc_ids give as many rows."""
     path = path or byte_bpe_50k()
@@ -199,11 +226,9 @@ def encode_corpus(docs: DataFrame, path: str | None = None, dictionary_words: in
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))
     coded = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.transform("w", lambda w: _look(_word_map(path), w)).alias("codes"))
     coded = settle(coded.select("doc_id", "codes", F.filter("w", lambda _, i: F.get(F.col("codes"), i).isNull()).alias("unknown")))
-    distinct = coded.select(F.explode(F.array_distinct("unknown")).alias("word")).groupBy("word").agg(F.octet_length("word").alias("bytes"))
-    short = distinct.where(F.col("bytes") <= FOLD_BYTES).select("word", fold_merges(F.col("word"), path).alias("ids"))
-    long_ = distinct.where(F.col("bytes") > FOLD_BYTES).select("word").mapInPandas(_long_words(path), "word string, ids array<int>")
-    encoded = settle(short.unionByName(long_))
-    if encoded.count() <= dictionary_words:
+    distinct = coded.select(F.explode(F.array_distinct("unknown")).alias("word")).groupBy("word").agg(F.lit(1).alias("one"))
+    encoded = settle(distinct.select("word", fold_merges(F.col("word"), path).alias("ids")))
+    if bytes_of(encoded) <= dictionary_bytes:
         held = encoded.toArrow()
         lists = held.column("ids").combine_chunks()
         found = spark.sparkContext.broadcast((held.column("word").to_pylist(), np.asarray(lists.offsets).astype(np.int64), lists.flatten().to_numpy()))

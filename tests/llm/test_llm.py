@@ -250,11 +250,11 @@ def test_tokens(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = tokenize.byte_bpe_50k()
     own = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=tokenize.load_ranks(path), special_tokens={})
-    texts = [None, "", " ", "Hello  world's\n\n\tend ", "見出しは記録を保存します。", "<|endoftext|> is text", "é😀 　x", "a" * 900, "antidisestablishmentarianism" * 20, "x\r\ny", "Hakatrilm 12345 naïve"]
+    texts = [None, "", " ", "Hello  world's\n\n\tend ", "見出しは記録を保存します。", "<|endoftext|> is text", "é😀 　x", "a" * 900, "antidisestablishmentarianism" * 20, "x\r\ny", "Hakatrilm 12345 naïve", "é" * 400, "GATTACA" * 300, "-" * 1201, "x" + "ab" * 333, "次に保存先は長い記録を保存します" * 20, "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(5000))]
     rows = [(i, t, "w") for i, t in enumerate(texts)] + [(3, texts[3], "w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, codes string")
-    for limit in (10**6, 0):
-        got = tokenize.encode_corpus(df, dictionary_words=limit).collect()
+    for limit in (10**9, 0):
+        got = tokenize.encode_corpus(df, dictionary_bytes=limit).collect()
         assert len(got) == len(rows)
         for r in got:
             assert list(r["ids"]) == own.encode_ordinary(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
@@ -263,13 +263,15 @@ def test_tokens(spark):
     assert tokenize.encode_corpus(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_heap_is_the_fold(spark, seed):
-    rng = random.Random(seed)
-    ranks = tokenize.load_ranks(tokenize.byte_bpe_50k())
-    words = ["".join(rng.choice("abcdeé見 ") for _ in range(rng.randint(2, 14))) for _ in range(30)]
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", tokenize.fold_merges(F.col("w"), tokenize.byte_bpe_50k()).alias("ids")).collect()
-    assert all(list(r["ids"]) == tokenize.heap_merges(r["w"].encode(), ranks) for r in got)
+def test_fold_is_the_tokenizer(spark):
+    """Short random words, many of which repeat pairs, against the library's merges."""
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(5)
+    path = tokenize.byte_bpe_50k()
+    own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokenize.load_ranks(path), special_tokens={})
+    words = ["".join(rng.choice(rng.choice(["ab", "abcdeé見 ", "aeinrst", "IPSE", "x"])) for _ in range(rng.randint(1, 24))) for _ in range(400)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", tokenize.fold_merges(F.col("w"), path).alias("ids")).collect()
+    assert [list(r["ids"]) for r in got] == [own.encode_ordinary(r["w"]) for r in got]
 
 
 # 8 ----------------------------------------------------------------------------------------------------------

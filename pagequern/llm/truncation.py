@@ -1,12 +1,15 @@
 """Text cut off by field limits or broken transfers (problem 9): a backward character n-gram model.
 
 At every place of every text the model asks what the last characters, read backward, are followed by: the
-end of a line, or more text. Contexts of several lengths are hashed, with the kind of line they stand in,
-into a table of fixed size; each partition counts ends and continuations in numpy, only for the slots that
-some text's own end asks about, and the counts are summed by slot. A text's score is the log-odds of ending
-against going on after its final context, at contexts of growing length, each smoothed by the next
-shorter one, without the text's own end and those of its copies. Texts whose score lies below their language's threshold are cut, as are texts
-that end inside a code block. What was put after the cut (dots, "(more)") is taken off first.
+end of a line, the stop of a sentence, or more text. Contexts of several lengths are hashed, with the kind of
+line they stand in, into a space of fixed size. Only contexts at some text's own end matter: they are marked in
+a bitmap of that space, each partition counts what follows them in sorted batches, and the counts are summed
+by slot and joined back to the ends that ask for them. A text's score is the log-odds of ending against going
+on after its final context, at contexts of growing length, each smoothed by the next shorter one, without the
+text's own end and those of its copies. One-line texts of a few words, mostly titles, are scored as what they
+would be in a longer text, where a title's last word also comes before a stop. Texts whose score lies below
+their language's threshold, the valley between the two heaps of scores, are cut, as are texts that end inside
+a code block or a broken character. What was put after the cut (dots, "(more)") is taken off first.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequern.session import measured_join, settle, table
@@ -33,16 +37,27 @@ SHAPE_TOKENS = 12
 PRIOR = 12.0
 #: A line's shape counts from this many sightings on.
 MIN_SEEN = 12
-#: Log-odds below which an end is a cut, and the same within NEAR characters of a source's length limit,
-#: which is where at least LIMIT_CUTS cut texts and LIMIT_SHARE of the source's (by language) end.
-THRESHOLD, AT_LIMIT = -3.5, -1.6
+#: The valley between cut and whole ends is looked for between these log-odds, in bins of BIN; a language's own
+#: ends count beside so many of the whole corpus.
+#: Closed sentences are known to be whole: no more than this share of them may lie below the valley.
+VALLEY, BIN, CORPUS_ENDS, WHOLE_BELOW = (-8.0, -1.0), 0.5, 200.0, 0.01
+#: A length limit is where, within NEAR characters, at least LIMIT_CUTS cut texts and LIMIT_SHARE of those of a
+#: source and language end. There the threshold rises by what cuts are more likely there than elsewhere.
 NEAR, LIMIT_CUTS, LIMIT_SHARE = 12, 5, 0.25
+#: Ends that a title's context may have though none was seen (of n places without one, at most 3 in n are ends at
+#: 95 % confidence): few sightings never make a title a cut.
+UNSEEN = 3.0
+#: Distinct contexts a worker holds before it hands its counts on.
+HELD = 2_000_000
 #: Characters of a text's end that are looked at besides its last line's start.
 TAIL = 200
 
-_MARK = re.compile(r"(?:\s*(?:…|\.{2,}|\[(?:…|\.\.\.|\+|\+ ?\d+ \w+|more|truncated|cut|continued)\]|\((?:…|\.\.\.|more|truncated|cut|continued|continues)\)|(?:Read|Show|See) more|Continue reading|\[truncated\]))+\s*$", re.I)
+_MARK = re.compile(r"(?:…|\.{2,}|\[(?:…|\.\.\.|\+|\+ ?\d+ \w+|more|truncated|cut|continued)\]|\((?:…|\.\.\.|more|truncated|cut|continued|continues)\)|(?:Read|Show|See) more|Continue reading|\[truncated\])$", re.I)
+#: The longest mark by itself; any number may follow each other.
+MARK = 200
 #: An end that closes a sentence, other than a number's point: no cut, whatever comes before it.
-_CLOSED = re.compile(r"(?:[^\d\s.]|\w{4,})[.!?。？！][\"'”’»)\]]*$")
+_CLOSED = re.compile(r"(?:[^\d\s.]|\w{4})[.!?。？！]$")
+_CLOSERS = "\"'”’»)]"
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[ \t]*(\S*)", re.M)
 _M, _GOLD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -69,12 +84,23 @@ _CHARS = _char_table()
 def strip_mark(text: str) -> str:
     """Without outer white space, and without what was put after a cut."""
     text = text.rstrip().rstrip("�").rstrip() if text.rstrip().endswith("�") else text.rstrip()
-    found = _MARK.search(text, max(0, len(text) - 80))
-    return text[: found.start()].rstrip() if found else text
+    while found := _MARK.search(text, max(0, len(text) - MARK)):
+        text = text[: found.start()].rstrip()
+    return text
+
+
+def _ends_closed(text: str) -> bool:
+    bare = text.rstrip(_CLOSERS)
+    return bool(_CLOSED.search(bare, max(0, len(bare) - 6)))
+
+
+_STOPS = np.array(sorted(map(ord, ".!?。？！")), np.uint32)
+#: What follows a place.
+END, STOP, ON = 0, 1, 2
 
 
 def _slots(texts: list[str], short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots by context and place, whether the place is the last of its line) over the texts' joined lines.
+    """(slots by context and place, END, STOP or ON of each place) over the texts' joined lines.
 
     After the contexts of ORDERS come two of shape, at the ends of tokens only: the line so far, its words
     reduced to their first letter's kind, up to SHAPE_TOKENS tokens (not for scripts without spaces); and, in headings and labelled lines,
@@ -108,8 +134,9 @@ def _slots(texts: list[str], short: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     line = np.repeat(np.arange(len(starts)), stops - starts + 1)
     seed = np.zeros(n, np.uint32)
     seed[1:] = kind[line]
-    ends = np.zeros(n, bool)
-    ends[:-1] = codes[1:] == 10
+    follow = np.full(n, ON, np.int32)
+    follow[:-1][np.isin(codes[1:], _STOPS)] = STOP
+    follow[:-1][codes[1:] == 10] = END
     inside = codes != 10
     out = np.full((CONTEXTS, n), -1, np.int32)
 
@@ -163,11 +190,12 @@ def _slots(texts: list[str], short: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         tail[1:] = token[:-1]
         named = (close < last) & (token == 65) & (index > 1) & (label[of] | (first[of] == 35))
         out[len(ORDERS) + 1, close[named]] = slot((kind[of[named]] * _M + tail[named]) * _M + np.uint32(5), len(ORDERS) + 1)
-    return out, ends
+    return out, follow
 
 
 def _short(texts: list[str]) -> np.ndarray:
-    """Texts of one line of at most 60 characters: mostly names and titles by themselves."""
+    """Texts of one line of at most 60 characters: mostly names and titles by themselves. Their lines are
+    counted apart from those of longer texts."""
     return np.array([len(t) <= 60 and "\n" not in t for t in texts], bool)
 
 
@@ -187,114 +215,207 @@ def _tail(text: str) -> str:
     return ("```\n" if _open_fence(text[:start]) else "") + text[start:]
 
 
+_TAILS = "row bigint, doc_id bigint, h bigint, lang string, source string, slots array<int>, fence boolean, broken boolean, marked boolean, closed boolean, title boolean, word boolean, chars int"
+
+
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _TAILS.split(", ")]
+    context = TaskContext.get()
+    row = (context.partitionId() if context else 0) << 33
     for batch in batches:
-        ids, texts = batch.column("doc_id"), [strip_mark(t or "") for t in batch.column("text").to_pylist()]
-        marked = [bool(t) and len(s) < len(t.rstrip()) for s, t in zip(texts, batch.column("text").to_pylist(), strict=True)]
-        fence = [_open_fence(t) for t in texts]
-        broken = [(t or "").rstrip().endswith("�") for t in batch.column("text").to_pylist()]
-        closed = [not m and bool(_CLOSED.search(t, max(0, len(t) - 40))) for t, m in zip(texts, marked, strict=True)]
+        whole = [t or "" for t in batch.column("text").to_pylist()]
+        texts = [strip_mark(t) for t in whole]
+        marked = [bool(t) and len(t) < len(w.rstrip()) for t, w in zip(texts, whole, strict=True)]
+        short = _short(texts)
         cut = [_tail(t) for t in texts]
-        slots, ends = _slots(cut, _short(texts))
-        sizes = np.array([len(t) + 1 for t in cut], np.int64)
-        last = np.maximum(np.cumsum(sizes) - 1, 0)
+        slots, _ = _slots(cut, np.zeros(len(cut), bool))
+        last = np.maximum(np.cumsum(np.array([len(t) + 1 for t in cut], np.int64)) - 1, 0)
         rows = slots[:, last].T.copy()
-        yield pa.RecordBatch.from_arrays(
-            [ids, batch.column("h"), batch.column("lang"), batch.column("source"), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), CONTEXTS).cast(pa.list_(pa.int32())), pa.array(fence), pa.array(broken), pa.array(marked), pa.array(closed), pa.array(_short(texts)), pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int32())],
-            names=["doc_id", "h", "lang", "source", "slots", "fence", "broken", "marked", "closed", "short", "chars"],
-        )
+        columns = [
+            pa.array(np.arange(row, row + len(texts))),
+            batch.column("doc_id"),
+            batch.column("h"),
+            batch.column("lang"),
+            batch.column("source"),
+            pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), CONTEXTS).cast(pa.list_(pa.int32())),
+            pa.array([_open_fence(t) for t in texts]),
+            pa.array([w.rstrip().endswith("�") for w in whole]),
+            pa.array(marked),
+            pa.array([not m and _ends_closed(t) for t, m in zip(texts, marked, strict=True)]),
+            pa.array(short),
+            pa.array([bool(s) and len(t.split()) < 2 for s, t in zip(short, texts, strict=True)]),
+            pa.array([len(w) for w in whole], pa.int32()),
+        ]
+        row += len(texts)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _asked(tails: DataFrame) -> np.ndarray:
+    """The slots that some end asks about, as a bitmap of the whole space: of fixed size, whatever the corpus."""
+    slot = tails.select(F.explode(F.transform("slots", lambda s: s + 1)).alias("s")).where("s > 0")
+    found = slot.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros((CONTEXTS << TABLE_BITS) // 8, np.uint8)
+    for r in found.toLocalIterator():
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["b"] - 1) * len(piece) : r["b"] * len(piece)] = piece
+    return out
+
+
+def _totals(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs (or its weights' sum)."""
+    order = None if weights is None else np.argsort(keys, kind="stable")
+    keys = np.sort(keys) if order is None else keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], np.int64)
+    if order is None:
+        return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.array([], np.int64)
 
 
 def _counts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        # the place of each slot among those asked about; slot -1 finds the last, which is never asked
-        place = np.full((CONTEXTS << TABLE_BITS) + 1, -1, np.int32)
-        place[asked] = np.arange(len(asked), dtype=np.int32)
-        end, on = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        bits: np.ndarray = sent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def handed() -> pa.RecordBatch:
+            keys, n = _totals(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 2, pa.int32()), pa.array(keys & 3, pa.int32()), pa.array(n, pa.int64())], names=["slot", "follow", "n"])
+
+        def counted(group: list[str]) -> None:
+            slots, follow = _slots(group, _short(group))
+            keys = []
+            for of_context in slots:
+                real = of_context >= 0
+                s, f = of_context[real], follow[real]
+                hit = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+                keys.append(s[hit] * 4 + f[hit])
+            held.append(_totals(np.concatenate(keys)))
+
         for batch in batches:
-            texts = [strip_mark(t) for t in batch.column("text").to_pylist() if t]
             group: list[str] = []
-            held = 0
-            for k, t in enumerate(texts):
+            size = 0
+            for t in batch.column("text").to_pylist():
+                t = strip_mark(t) if t else ""
                 if t:
                     group.append(t)
-                    held += len(t)
-                if group and (held > 300_000 or k + 1 == len(texts)):
-                    slots, ends = _slots(group, _short(group))
-                    for row in slots:
-                        number = place[row]
-                        hit = number >= 0
-                        number, e = number[hit], ends[hit]
-                        end += np.bincount(number[e], minlength=len(asked))
-                        on += np.bincount(number[~e], minlength=len(asked))
-                    group, held = [], 0
-        at = np.flatnonzero((end > 0) | (on > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(asked[at], pa.int32()), pa.array(end[at], pa.int64()), pa.array(on[at], pa.int64())], names=["slot", "ends", "goes_on"])
+                    size += len(t)
+                if size > 300_000:
+                    counted(group)
+                    group, size = [], 0
+            if group:
+                counted(group)
+            if sum(len(k) for k, _ in held) > HELD:
+                yield handed()
+        if held:
+            yield handed()
 
     return run
 
 
-def _scores(sent):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot, ends, on = sent.value
-        for pdf in batches:
-            slots = np.vstack(pdf["slots"].to_list()) if len(pdf) else np.zeros((0, CONTEXTS), np.int64)
-            own = pdf["copies"].to_numpy(np.float64)
-
-            def odds(k: int) -> tuple[np.ndarray, np.ndarray]:
-                s = slots[:, k]
-                at = np.minimum(np.searchsorted(slot, s), max(0, len(slot) - 1))
-                known = (slot[at] == s) if len(slot) else np.zeros(len(s), bool)
-                e = np.maximum(np.where(known, ends[at], 0) - own, 0)
-                c = np.where(known, on[at], 0)
-                return e + c, np.log(e + 1e-3) - np.log(c + 1e-3)
-
-            share = np.full(len(pdf), 0.02)
-            for k in (len(ORDERS) + 2, *range(len(ORDERS))):
-                seen, value = odds(k)
-                e = np.maximum(seen, 0) / (1 + np.exp(-value))
-                share = (np.where(seen > 0, e, 0) + PRIOR * share) / (seen + PRIOR)
-            share = np.clip(share, 1e-7, 1 - 1e-7)
-            score = np.log(share) - np.log(1 - share)
-            for k in (len(ORDERS), len(ORDERS) + 1):
-                seen, value = odds(k)
-                score = np.where((slots[:, k] >= 0) & (seen >= MIN_SEEN), np.maximum(score, value), score)
-            pdf["score"] = score
-            yield pdf.drop(columns=["slots"])
+_SCORED = "row bigint, score double"
 
-    return run
+
+def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores of rows with their contexts' counts, context by context: END, STOP, ON; -1 where there is none."""
+    for pdf in batches:
+        n = np.stack(pdf["n"].to_list()).astype(np.float64).reshape(-1, CONTEXTS, 3) if len(pdf) else np.zeros((0, CONTEXTS, 3))
+        has = n[:, :, END] >= 0
+        title = pdf["title"].to_numpy(bool)
+        # the end of a title stands in longer texts before a stop too; any other has its own and its copies' end
+        ends = np.where(title[:, None], n[:, :, END] + n[:, :, STOP] + UNSEEN, n[:, :, END] - pdf["copies"].to_numpy(np.float64)[:, None])
+        goes = np.where(title[:, None], n[:, :, ON], n[:, :, ON] + n[:, :, STOP])
+        ends, goes = np.where(has, np.maximum(ends, 0), 0), np.where(has, goes, 0)
+        share = np.full(len(pdf), 0.02)
+        for k in (len(ORDERS) + 2, *range(len(ORDERS))):
+            share = (ends[:, k] + PRIOR * share) / (ends[:, k] + goes[:, k] + PRIOR)
+        share = np.clip(share, 1e-7, 1 - 1e-7)
+        score = np.log(share) - np.log(1 - share)
+        for k in (len(ORDERS), len(ORDERS) + 1):
+            odds = np.log(ends[:, k] + 1e-3) - np.log(goes[:, k] + 1e-3)
+            score = np.where(has[:, k] & (ends[:, k] + goes[:, k] >= MIN_SEEN), np.maximum(score, odds), score)
+        yield pd.DataFrame({"row": pdf["row"], "score": score})
 
 
 def end_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, score, fence, broken, marked, closed, short) of docs (doc_id, text, lang, source)."""
+    """(doc_id, lang, source, score, fence, broken, marked, closed, title, word, chars, copies) of docs
+    (doc_id, text, lang, source), a row for each of its rows; title: a line of at most 60 characters by
+    itself; word: a single word by itself. Settled."""
     spark = docs.sparkSession
-    tails = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", "text").mapInArrow(_tails, "doc_id bigint, h bigint, lang string, source string, slots array<int>, fence boolean, broken boolean, marked boolean, closed boolean, short boolean, chars int")
-    tails = settle(tails)
-    asked = np.sort(tails.where("not short").select(F.explode("slots").alias("s")).where("s >= 0").distinct().toArrow().column("s").to_numpy())
-    counted = docs.select("text").where(F.length("text") > 0).mapInArrow(_counts(spark.sparkContext.broadcast(asked)), "slot int, ends bigint, goes_on bigint")
-    model = counted.groupBy("slot").agg(F.sum("ends").cast("bigint").alias("ends"), F.sum("goes_on").cast("bigint").alias("goes_on")).orderBy("slot").toArrow()
-    sent = spark.sparkContext.broadcast(tuple(model.column(c).to_numpy() for c in ("slot", "ends", "goes_on")))
+    tails = settle(docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", "text").mapInArrow(_tails, _TAILS))
+    bits = spark.sparkContext.broadcast(_asked(tails))
+    counted = docs.select("text").where(F.length("text") > 0).mapInArrow(_counts(bits), "slot int, follow int, n bigint")
+    by_follow = [F.sum(F.when(F.col("follow") == f, F.col("n")).otherwise(0)).cast("bigint") for f in (END, STOP, ON)]
+    model = settle(counted.groupBy("slot").agg(F.array(*by_follow).alias("n")))
+    asked = tails.select("row", F.posexplode("slots").alias("k", "slot")).where("slot >= 0")
+    none = F.array(F.lit(-1), F.lit(-1), F.lit(-1)).cast("array<bigint>")
+    nothing = F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<bigint>")
+    by_row = measured_join(asked, model, ["slot"], "left").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", F.coalesce("n", nothing).alias("n")))).alias("m"))
+    counts = by_row.select("row", F.flatten(F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), none) for k in range(CONTEXTS)])).alias("n"))
     copies = tails.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    joined = measured_join(tails, copies, ["h"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return joined.select("doc_id", "lang", "source", "slots", "fence", "broken", "marked", "closed", "short", "chars", "copies").mapInPandas(_scores(sent), "doc_id bigint, lang string, source string, fence boolean, broken boolean, marked boolean, closed boolean, short boolean, chars int, copies bigint, score double")
+    facts = measured_join(tails.drop("slots"), copies, ["h"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("h")
+    scored = counts.join(facts.select("row", "title", "copies"), "row").mapInPandas(_scores, _SCORED)
+    return settle(facts.join(scored, "row", "left").drop("row"))
+
+
+def _of_group(*columns: str) -> list[Column]:
+    """The columns as keys to join by, with NULL as a value of its own."""
+    return [F.coalesce(F.col(c), F.lit("\x00")).alias(f"{c}_") for c in columns]
+
+
+def thresholds(scores: DataFrame) -> DataFrame:
+    """(lang_, threshold, odds): the log-odds in the middle of the emptiest bin between a language's cut and whole
+    ends, and the odds of an end below it. Each language's bins, smoothed by their neighbours, count beside
+    CORPUS_ENDS ends spread like all of the corpus, so that a rare language takes the corpus's threshold."""
+    low, high = VALLEY
+    bins = round((high - low) / BIN)
+    ends = scores.where(F.col("score").isNotNull() & ~F.col("title")).select(*_of_group("lang"), "score", "closed")
+    place = F.floor((F.col("score") - low) / BIN)
+    by_lang = settle(ends.groupBy("lang_").agg(F.count("*").alias("all"), F.array(*[F.count_if(place == k) for k in range(bins)]).alias("n"), F.array(*[F.count_if(place < k) for k in range(bins)]).alias("below"), F.array(*[F.count_if(F.col("closed") & (place <= k)) for k in range(bins)]).alias("low"), F.count_if("closed").alias("closed")))
+    total = by_lang.agg(F.sum("all").alias("all"), *[F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(bins)], *[F.sum(F.get("below", F.lit(k))).alias(f"b{k}") for k in range(bins)], *[F.sum(F.get("low", F.lit(k))).alias(f"c{k}") for k in range(bins)], F.sum("closed").alias("closed")).first()
+    whole = float(total["all"] or 1)
+
+    def beside(name: str, prefix: str) -> Column:
+        return F.zip_with(name, F.array(*[F.lit(CORPUS_ENDS * (total[f"{prefix}{k}"] or 0) / whole) for k in range(bins)]), lambda a, b: a + b)
+
+    smooth = F.transform("m", lambda x, i: x * 2 + F.coalesce(F.get("m", i - 1), x) + F.coalesce(F.get("m", i + 1), x))
+    # the emptiest bin with some end below it, below all but WHOLE_BELOW of the closed ends; of bins as empty as
+    # each other the middle one, and if there is none such, the lowest
+    found = by_lang.withColumn("m", beside("n", "n")).withColumn("m", smooth).withColumn("u", beside("below", "b")).withColumn("c", beside("low", "c"))
+    most = WHOLE_BELOW * (F.col("closed") + CORPUS_ENDS * (total["closed"] or 0) / whole)
+    inner = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.get("u", i) > 0) & (F.get("c", i) <= most))
+    least = F.array_min(F.transform(inner, lambda i: F.get("m", i)))
+    emptiest = F.filter(inner, lambda i: F.get("m", i) == least)
+    found = found.withColumn("at", F.coalesce(F.get(emptiest, F.floor(F.size(emptiest) / 2).cast("int")), F.lit(0)))
+    share = (F.get("u", F.col("at")) + 1) / (F.col("all") + CORPUS_ENDS + 2)
+    return found.select("lang_", (F.col("at") * BIN + low + BIN / 2).alias("threshold"), (share / (1 - share)).alias("odds"))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """end_scores with cut: a text ends inside a sentence, word, code block or character.
+    """end_scores with model (what the score alone says) and cut: a text ends inside a sentence, word, code
+    block or character.
 
-    NULL, empty and blank texts are never cut; short ones only by an open code block or a broken last character,
-    as the score can't tell their sentences from names and titles. NULL languages and sources form groups of their own.
+    NULL, empty and blank texts are never cut. A text that is a single word is cut only by an open code block or
+    a broken last character: no context tells part of a word from a name. A closed sentence is whole. NULL
+    languages and sources form groups of their own.
     """
-    scores = settle(end_scores(docs))
-    sure = F.col("fence") | F.col("broken") | (~F.col("short") & ~F.col("closed") & (F.col("score") < THRESHOLD))
-    bands = scores.where(sure).groupBy("lang", "source", F.floor(F.col("chars") / NEAR).alias("band")).agg(F.count("*").alias("n"), F.max("chars").alias("limit"))
-    best = bands.groupBy("lang", "source").agg(F.max(F.struct("n", "limit")).alias("m"), F.sum("n").alias("all"))
-    limits = best.where((F.col("m.n") >= LIMIT_CUTS) & (F.col("m.n") >= LIMIT_SHARE * F.col("all"))).select(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_"), F.col("m.limit").alias("limit"))
-    keyed = scores.withColumns({"lang_": F.coalesce("lang", F.lit("")), "source_": F.coalesce("source", F.lit(""))})
-    known = measured_join(keyed, limits, ["lang_", "source_"], "left").drop("lang_", "source_")
+    scores = end_scores(docs)
+    keyed = scores.select("*", *_of_group("lang", "source"))
+    keyed = settle(measured_join(keyed, thresholds(scores), ["lang_"], "left"))
+    open_ = ~F.col("closed") & ~F.col("word")
+    plain = F.col("fence") | F.col("broken")
+    low = F.coalesce(F.col("score") < F.col("threshold"), F.lit(False))
+    sure = plain | (open_ & low)
+    band = F.floor(F.col("chars") / NEAR).alias("band")
+    bands = keyed.where(sure).groupBy("lang_", "source_", band).agg(F.count("*").alias("n"), F.max("chars").alias("limit"))
+    best = bands.groupBy("lang_", "source_").agg(F.max(F.struct("n", "limit")).alias("m"), F.sum("n").alias("all"))
+    limits = best.where((F.col("m.n") >= LIMIT_CUTS) & (F.col("m.n") >= LIMIT_SHARE * F.col("all"))).select("lang_", "source_", F.col("m.limit").alias("limit"))
     near = F.coalesce(F.abs(F.col("chars") - F.col("limit")) <= NEAR, F.lit(False))
-    return known.withColumn("cut", sure | (~F.col("short") & near & ~F.col("closed") & (F.col("score") < AT_LIMIT)))
+    known = measured_join(keyed, limits, ["lang_", "source_"], "left").withColumn("near", near)
+    there = known.where("near").groupBy("lang_", "source_").agg(((F.count_if(sure) + 1) / (F.count_if(~sure) + 1)).alias("odds_there"))
+    known = measured_join(known, there, ["lang_", "source_"], "left")
+    rise = F.when(F.col("near"), F.greatest(F.lit(0.0), F.log(F.col("odds_there") / F.col("odds")))).otherwise(0.0)
+    model = F.coalesce(F.col("score") < F.col("threshold") + rise, F.lit(False))
+    return known.select(*scores.columns, "threshold", model.alias("model"), (plain | (open_ & model)).alias("cut"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:

@@ -344,3 +344,49 @@ def test_short_texts_with_open_fence_or_broken_end(spark):
     rows += [(i, " ".join(_sentence(random.Random(i)) for _ in range(8)), "en", "s") for i in range(10, 20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     assert {r["doc_id"] for r in truncation.cut_texts(df).where("cut").collect()} == {1, 2}
+
+
+def test_short_texts_are_scored(spark):
+    """Sentences cut within 60 characters are found, titles of as many words aren't."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(_sentence(rng) for _ in range(8)), "en", "s") for i in range(500)]
+    # as in any corpus that needs this, some long texts are cut
+    rows = [(i, t[:-9] if i % 10 == 0 else t, lang, source) for i, t, lang, source in rows]
+    rows += [(i, f"Working with a {rng.choice(['queue', 'table', 'ledger'])}", "en", "s") for i in range(500, 540)]
+    cut = ["The queue keeps 42 cache entri", "The router keeps 7 table entries and the led", "The parser keeps 11 queue entries and the"]
+    rows += [(600 + i, t, "en", "s") for i, t in enumerate(cut)] + [(700, "Queue", "en", "s"), (701, "The queue drops them.", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r["doc_id"] for r in truncation.cut_texts(df).where("cut").collect()}
+    assert {600, 601, 602} <= found and found <= {*range(0, 500, 10), 600, 601, 602}
+
+
+def test_tail_asks_what_the_whole_text_asks(spark, base):
+    """The contexts of a text's end are the same in its tail as in the text, on every row."""
+    texts = [truncation.strip_mark(r[0]) for r in spark.read.parquet(f"{base}/documents.parquet").select("text").collect() if r[0]]
+    texts = [t for t in texts if t]
+    none = np.zeros(1, bool)
+    for t in texts:
+        whole, _ = truncation._slots([t], none)
+        tail, _ = truncation._slots([truncation._tail(t)], none)
+        assert whole[:, len(t)].tolist() == tail[:, len(truncation._tail(t))].tolist(), t[-80:]
+
+
+@pytest.mark.parametrize("mark", ["...", " (more) [...]", "\u2026" * 150, " [+ 250 chars]" * 30, "\n\nContinue reading" * 20 + "   "])
+def test_marks_of_any_number_are_taken_off(mark):
+    assert truncation.strip_mark(f"The queue keeps{mark}") == "The queue keeps"
+
+
+def test_thresholds_lie_between_the_heaps(spark):
+    rng = np.random.default_rng(2)
+    rows = [("aa", float(x), x > -3, False) for x in np.concatenate([rng.normal(-9, 1, 300), rng.normal(0, 0.7, 3000)])]
+    rows += [("bb", float(x), x > -3, False) for x in np.concatenate([rng.normal(-6, 0.6, 300), rng.normal(-1, 0.5, 3000)])] + [(None, -0.5, True, False), ("aa", None, False, False)]
+    got = {r["lang_"]: r["threshold"] for r in truncation.thresholds(spark.createDataFrame(rows, "lang string, score double, closed boolean, title boolean")).collect()}
+    assert -7 < got["aa"] < -2 and -4.6 < got["bb"] < -2.4 and -7 < got["\x00"] < -2
+
+
+def test_counts_by_sorted_batches():
+    keys = np.array([5, 3, 5, 5, 9])
+    k, n = truncation._totals(keys)
+    assert k.tolist() == [3, 5, 9] and n.tolist() == [1, 3, 1]
+    k, n = truncation._totals(np.array([9, 3, 9]), np.array([2, 1, 4]))
+    assert k.tolist() == [3, 9] and n.tolist() == [1, 6]

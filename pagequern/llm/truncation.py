@@ -378,13 +378,14 @@ def thresholds(scores: DataFrame) -> DataFrame:
         return F.zip_with(name, F.array(*[F.lit(CORPUS_ENDS * (total[f"{prefix}{k}"] or 0) / whole) for k in range(bins)]), lambda a, b: a + b)
 
     smooth = F.transform("m", lambda x, i: x * 2 + F.coalesce(F.get("m", i - 1), x) + F.coalesce(F.get("m", i + 1), x))
-    # the emptiest bin with some end below it, below all but WHOLE_BELOW of the closed ends; of bins as empty as
-    # each other the middle one, and if there is none such, the lowest
+    # the emptiest bin with some end below it, below all but WHOLE_BELOW of the closed ends; of the
+    # uppermost bins in a row that are as empty the middle one, and if there is none such, the lowest
     found = by_lang.withColumn("m", beside("n", "n")).withColumn("m", smooth).withColumn("u", beside("below", "b")).withColumn("c", beside("low", "c"))
     most = WHOLE_BELOW * (F.col("closed") + CORPUS_ENDS * (total["closed"] or 0) / whole)
     inner = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.get("u", i) > 0) & (F.get("c", i) <= most))
     least = F.array_min(F.transform(inner, lambda i: F.get("m", i)))
-    emptiest = F.filter(inner, lambda i: F.get("m", i) == least)
+    tied = F.filter(inner, lambda i: F.get("m", i) == least)
+    emptiest = F.filter(tied, lambda i, k: F.array_max(tied) - i == F.size(tied) - 1 - k)
     found = found.withColumn("at", F.coalesce(F.get(emptiest, F.floor(F.size(emptiest) / 2).cast("int")), F.lit(0)))
     share = (F.get("u", F.col("at")) + 1) / (F.col("all") + CORPUS_ENDS + 2)
     return found.select("lang_", (F.col("at") * BIN + low + BIN / 2).alias("threshold"), (share / (1 - share)).alias("odds"))

@@ -3,9 +3,11 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,35 @@ def test_messages_beside_ordinary_lines(spark):
     assert {r["id"] for r in residue.residue_records(df).collect()} == {0, 3, 4, 7}
 
 
+def test_wordings_not_in_the_table():
+    """Messages fitted without their wording (folds by first word) are still known if they were seen more than once."""
+    known, y = residue.labelled()
+    fold = np.array([zlib.crc32(t.split()[0].encode()) % 5 for t in known["template"]])
+    score = np.concatenate([residue.score(known[fold == i], residue.fit_both(known[fold != i], y[fold != i])) for i in range(5)])
+    label = np.concatenate([y[fold == i] for i in range(5)]) == 1
+    often = np.concatenate([(known["lines"].to_numpy() > 1)[fold == i] for i in range(5)])
+    assert (score > 0)[label & often].mean() >= 0.9 and label[score > 0].mean() >= 0.9
+
+
+def test_nothing_is_too_long(spark):
+    """A value or slot in a long sentence, a long slot, and a long message."""
+    long_ = "The queue keeps its entries and drops them if its table is full, " * 8
+    texts = [f"{long_}so you pay undefined per month.", f"Dear {{{{ {'a_long_name.' * 12}x }}}}, welcome.", "Lorem ipsum dolor sit amet " * 40, f"{long_}so you pay nothing.", f"In code, `{'x' * 200} undefined {{{{ a }}}}` stays as it is."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    assert {r["id"] for r in residue.residue_records(df).collect()} == {0, 1, 2}
+
+
+def test_lines_are_grouped_by_likeness(spark):
+    lines = ["page one of the big book is gone", "page two of the big book is gone", "page one and many other things we sell"]
+    df = spark.createDataFrame([(i, t, f"s{i}", i > 0) for i, t in enumerate(lines)], "id bigint, text string, site string, bad boolean")
+    groups, members = residue.line_groups(residue.record_lines(df))
+    got = {r["template"]: (r["lines"], r["bad"], r["known"], r["low"] < r["high"]) for r in groups.collect()}
+    assert got["page <*> of the big book is gone"] == (2, 1, 2, True) or got["page one of the big book is gone"][0] == 1
+    assert members.count() == 3
+    pdf = pd.DataFrame({"leaf": [1, 1, 1, 2], "masked": [*lines, "page one of the big book is gone"]})
+    assert residue._group_lines(pdf)["template"].tolist() == ["page <*> of the big book is gone"] * 2 + [lines[2], "page one of the big book is gone"]
+
+
 # 5 ----------------------------------------------------------------------------------------------------------
 
 

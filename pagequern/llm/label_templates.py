@@ -92,8 +92,8 @@ def main(base: str) -> None:
 
     spark = local_session()
     ship_package(spark)
-    groups, _ = residue.line_groups(residue.record_lines(residue.scrape_records(table(spark, base, "scrapes"))))
-    rows = groups.withColumn("label", F.when(_is_message(F.regexp_replace("example", "<\\*>", "x")) | F.col("example").isin(READ), 1).otherwise(0))
+    groups, _, _ = residue.line_groups(residue.record_lines(residue.scrape_records(table(spark, base, "scrapes"))))
+    rows = groups.withColumn("label", F.when(_is_message(F.regexp_replace("template", "<\\*>", "x")) | F.col("template").isin(READ), 1).otherwise(0))
     ok = (F.col("label") == 1) | ((F.col("low") < F.col("high")) & (F.col("lines") > 2)) | (F.pmod(F.xxhash64("template"), F.lit(100)) < F.when(F.col("template").rlike("[“”\"«»「」`]"), 40).when(F.size(F.split("template", " ")) < 9, 60).otherwise(15))
     got = rows.where(ok).select("label", *residue.BEHAVIOUR, "template").where(~F.col("template").rlike(f"^{residue._FRAME}$")).toPandas()
     some = got[(got.label == 0) & (got.low == got.high)].sort_values("template", key=lambda t: t.map(lambda x: (len(x.split()) > 8, zlib.crc32(x.encode())))).head(NEGATIVES)

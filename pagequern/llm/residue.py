@@ -67,7 +67,7 @@ def _leaf(tokens: Column) -> Column:
 
 
 def record_lines(records: DataFrame) -> DataFrame:
-    """(id, masked, leaf, content, share, site, bad) of the non-blank lines outside code blocks of records (id,
+    """(id, masked, h, leaf, content, share, site, bad) of the non-blank lines outside code blocks of records (id,
     text and, if there are, site and bad); written once. masked is in lower case; content says that the line is
     a sentence, not a title or the page's frame; share is its part of the record's text; bad says that the
     fetch was refused."""
@@ -80,7 +80,7 @@ def record_lines(records: DataFrame) -> DataFrame:
     sentence = (F.length("line") >= SENTENCE_CHARS) | (F.size("tokens") >= SENTENCE_TOKENS) | F.col("line").rlike(r"[\u3040-\u9FFF]{6}")
     title = (F.col("pos") <= 1) & ~F.trim("line").rlike(r"[.!?。…:]$") & (F.size("tokens") <= 12)
     frame = (F.length("line") < 80) & F.lower("masked").rlike(f"^{_FRAME}$")
-    return settle(masked.select("id", F.lower("masked").alias("masked"), _leaf(F.col("tokens")).alias("leaf"), (sentence & ~title & ~frame).alias("content"), (F.length("line") / F.col("chars")).alias("share"), "site", "bad"))
+    return settle(masked.select("id", F.lower("masked").alias("masked"), F.xxhash64(F.lower("masked")).alias("h"), _leaf(F.col("tokens")).alias("leaf"), (sentence & ~title & ~frame).alias("content"), (F.length("line") / F.col("chars")).cast("float").alias("share"), "site", "bad"))
 
 
 #: What is known of a template besides its words: its lines, the least and greatest of its sites, the sum of its
@@ -92,8 +92,12 @@ def _sums() -> list[Column]:
     return [F.sum("lines").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("share").alias("share"), F.sum("bad").alias("bad"), F.sum("known").alias("known")]
 
 
+_MEMBERS = "leaf bigint, h bigint, template string, lines bigint, low bigint, high bigint, share double, bad bigint, known bigint"
+
+
 def _group_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups within each leaf of a bucket: the first line left leads, and all alike enough follow it."""
+    """Groups within each leaf of a bucket: the first line left leads, and all alike enough follow it. masked
+    becomes the group's template."""
     template = np.array(pdf["masked"], dtype=object)
     leaf = pdf["leaf"].to_numpy()
     order = np.lexsort((template.astype(str), leaf))
@@ -112,27 +116,29 @@ def _group_lines(pdf: pd.DataFrame) -> pd.DataFrame:
                 same = (codes[group] == codes[group[0]]).all(0)
                 template[at[group]] = " ".join(names[c] if k else "<*>" for c, k in zip(codes[group[0]], same, strict=True))
             left = left[~near]
-    return pd.DataFrame({"leaf": leaf, "masked": pdf["masked"], "template": template})
+    return pdf.drop(columns=["masked", "b"], errors="ignore").assign(template=template)[["leaf", "template", *[c for c in pdf.columns if c not in ("leaf", "masked", "b")]]]
 
 
-def line_groups(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, members): groups (leaf, template, BEHAVIOUR, example) and the distinct lines (leaf, masked,
-    template, lines) in them. A leaf of many distinct lines is compared in portions, by hash; groups of different
-    portions with the same template are one."""
+def line_groups(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, members, distinct): groups (leaf, t, template, BEHAVIOUR), the distinct lines (leaf, h, t) in them,
+    and these lines' texts (leaf, h, masked). A leaf of many distinct lines is compared in portions, by hash;
+    groups of different portions with the same template are one. h and t are hashes of line and template."""
     distinct = settle(
-        lines.groupBy("leaf", "masked").agg(
-            F.count("*").alias("lines"), F.min("site").alias("low"), F.max("site").alias("high"), F.sum("share").alias("share"), F.count_if("bad").alias("bad"), F.count("bad").alias("known")
+        lines.groupBy("leaf", "h").agg(
+            F.first("masked").alias("masked"), F.count("*").alias("lines"), F.min("site").alias("low"), F.max("site").alias("high"), F.sum("share").alias("share"), F.count_if("bad").alias("bad"), F.count("bad").alias("known")
         )
     )
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     portions = F.ceil(F.col("n") / PORTION)
     mixed = measured_join(distinct, sizes, ["leaf"], "left")
-    alone = mixed.where("n IS NULL").select("leaf", "masked", F.col("masked").alias("template"))
+    names = [c.split()[0] for c in _MEMBERS.split(", ")]
+    alone = mixed.where("n IS NULL").withColumnRenamed("masked", "template").select(*names)
     buckets = max(1, distinct.count() // PORTION)
-    bucket = F.pmod(F.xxhash64("leaf", F.pmod(F.xxhash64("masked"), portions)), F.lit(buckets))
-    grouped = mixed.where("n > 1").select("leaf", "masked", bucket.alias("b")).groupBy("b").applyInPandas(_group_lines, "leaf bigint, masked string, template string")
-    members = settle(distinct.join(alone.unionByName(grouped), ["leaf", "masked"]))
-    return settle(members.groupBy("leaf", "template").agg(*_sums(), F.min("masked").alias("example"))), members
+    bucket = F.pmod(F.xxhash64("leaf", F.pmod("h", portions)), F.lit(buckets))
+    grouped = mixed.where("n > 1").select("leaf", "h", "masked", *BEHAVIOUR, bucket.alias("b")).groupBy("b").applyInPandas(lambda pdf: _group_lines(pdf)[names], _MEMBERS)
+    members = settle(alone.unionByName(grouped).withColumn("t", F.xxhash64("template")))
+    groups = settle(members.groupBy("leaf", "t").agg(F.first("template").alias("template"), *_sums()))
+    return groups, members.select("leaf", "h", "t", "lines"), distinct.select("leaf", "h", "masked")
 
 
 class Features:
@@ -208,24 +214,25 @@ def fitted() -> list[np.ndarray]:
 
 
 def message_templates(groups: DataFrame) -> DataFrame:
-    """(leaf, template) of the groups that are messages."""
+    """(leaf, t, template) of the groups that are messages."""
     sent = groups.sparkSession.sparkContext.broadcast(fitted())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.loc[score(pdf, sent.value) > 0, ["leaf", "template"]] if len(pdf) else pdf[["leaf", "template"]]
+            yield pdf.loc[score(pdf, sent.value) > 0, ["leaf", "t", "template"]] if len(pdf) else pdf[["leaf", "t", "template"]]
 
     # a page's frame is never a message, whatever stands beside it
     judged = groups.where(~F.col("template").rlike(f"^{_FRAME}$"))
-    return judged.select("leaf", "template", *BEHAVIOUR).mapInPandas(run, "leaf bigint, template string")
+    return judged.select("leaf", "t", "template", *BEHAVIOUR).mapInPandas(run, "leaf bigint, t bigint, template string")
 
 
 def messages(lines: DataFrame) -> DataFrame:
-    """(leaf, masked, template, group, lines) of the distinct lines whose group is a message; template is the
-    line as masked, group what its whole group shares. Settled."""
-    groups, members = line_groups(lines)
-    found = measured_join(members, settle(message_templates(groups)), ["leaf", "template"], "left_semi")
-    return settle(found.select("leaf", "masked", F.col("masked").alias("template"), F.col("template").alias("group"), "lines"))
+    """(leaf, h, template, group, lines) of the distinct lines whose group is a message; template is the line as
+    masked, group what its whole group shares. Settled."""
+    groups, members, distinct = line_groups(lines)
+    found = measured_join(members, settle(message_templates(groups)).withColumnRenamed("template", "group"), ["leaf", "t"])
+    texts = measured_join(distinct, found.select("leaf", "h", "group", "lines"), ["leaf", "h"])
+    return settle(texts.select("leaf", "h", F.col("masked").alias("template"), "group", "lines"))
 
 
 def slot_shown(text: Column) -> Column:
@@ -246,8 +253,8 @@ def residue_records(records: DataFrame) -> DataFrame:
     NULL, empty and blank texts, and titles by themselves, are none. Extra columns are ignored.
     """
     lines = record_lines(records)
-    known = messages(lines).select("leaf", "masked", F.lit(True).alias("message"))
-    marked = measured_join(lines.select("id", "leaf", "masked", "content"), known, ["leaf", "masked"], "left")
+    known = messages(lines).select("leaf", "h", F.lit(True).alias("message"))
+    marked = measured_join(lines.select("id", "leaf", "h", "content"), known, ["leaf", "h"], "left")
     own = F.coalesce("message", F.lit(False))
     flags = marked.select("id", "leaf", own.alias("message"), (F.col("content") & ~own).alias("content"))
     by_record = flags.groupBy("id").agg(F.bool_or("message").alias("has"), F.collect_set(F.when(F.col("content"), F.col("leaf"))).alias("own"))

@@ -28,6 +28,10 @@ from pagequern.session import table
 PAIR_BITS = 18
 #: A segment of improbable pairs counts from this score on; probable pairs weigh at most LEAST.
 SEGMENT, LEAST = 0.3, -1.5
+#: In a field known to be damaged, any other pair of foreign characters is improbable by so much more.
+DAMAGED = 1.3
+#: A reading is clear if its log-probability is so much higher than any other's, per character in which they differ.
+CLEAR = 0.5
 #: A reading in another single-byte encoding must gain this much log-probability per changed character.
 GAIN = 1.6
 
@@ -36,7 +40,7 @@ EAST = ("euc_jp", "gbk", "cp932", "cp949", "big5")
 MEANT = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_roman", "mac_cyrillic")
 _UTF8 = re.compile(rb"[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}")
 _QUOTED = re.compile(r"`[^`\n]{1,40}`")
-_ENTITY = re.compile(r"&#(1[2-9]\d|2[0-4]\d|25[0-5]);")
+_ENTITY = re.compile(r"&#(1[2-9]\d|[2-9]\d\d|[1-9]\d{3}|[1-4]\d{4}|5[0-4]\d{3});")
 #: A lone replacement character that a text speaks of.
 _MENTIONED = re.compile(r"(?i)\b(?:character|symbol|sign|caractère|carácter|caractere|zeichen|znak|символ|文字)s? ?[\"'(«„“]?�(?!�)")
 
@@ -148,9 +152,9 @@ class Model:
         self.pairs = np.log(both[_N * _N :] + 0.5)
         self.readings: dict[str, dict[int, tuple[float, int]]] = {}
 
-    def segments(self, text: str, codes: np.ndarray) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs, as ranges of characters, extended over runs of
-        foreign characters; runs of three Latin letters with marks count as improbable."""
+    def segments(self, text: str, codes: np.ndarray, prior: float = 0.0) -> list[tuple[int, int]]:
+        """Maximum-scoring segments of improbable pairs as ranges of characters, extended over runs of foreign
+        characters; runs of three Latin letters with marks count as improbable. prior is added to each pair."""
         k = _CLASS[codes]
         foreign = codes > 127
         near = foreign[:-1] | foreign[1:]
@@ -161,6 +165,7 @@ class Model:
         if len(k) > 2:
             triple = marked[:-2] & marked[1:-1] & marked[2:]
             score[:-1][triple] = np.maximum(score[:-1][triple], 0.6)
+        score = np.where(near, score + prior, score)
         if not (score >= 0.1).any():
             return []
         out: list[tuple[int, int]] = []
@@ -386,14 +391,33 @@ def _other_reading(text: str, whole: str, segments: list[tuple[int, int]], model
             t[0] += gain
             t[1] += changed
     if total:
-        i, (gain, changed) = max(total.items(), key=lambda x: x[1][0])
+        ranked = sorted(total.items(), key=lambda x: -x[1][0])
+        i, (gain, changed) = ranked[0]
         if gain >= GAIN * changed + 0.8:
             w, r, m = _SINGLE[i]
-            fixed = _WORD_OF.sub(lambda x: x.group().translate(m) if i in _word_readings(x.group(), model) else x.group(), text)
-            return w, r, fixed
+            return w, r, _read_again(text, whole, segments, i, ranked[1:], model)
     return _east_reading(text, whole)
 
 
+def _read_again(text: str, whole: str, segments: list[tuple[int, int]], i: int, others: list, model: Model) -> str:
+    """whole as it reads under table i: all of it, since a field is decoded as one; '' if the table knows not
+    every foreign character, or if another table that reads almost as well gives another text."""
+    m = _SINGLE[i][2]
+    foreign = {x for x in whole if ord(x) > 127}
+    if any(ord(x) not in m for x in foreign):
+        return ""
+    fixed = whole.translate(m)
+    best = model.pair_score(fixed)
+    for k, _ in others:
+        other = _SINGLE[k][2]
+        if all(ord(x) in other for x in foreign):
+            rival = whole.translate(other)
+            differ = sum(a != b for a, b in zip(rival, fixed, strict=True))
+            if differ and best - model.pair_score(rival) < CLEAR * differ:
+                return ""
+    return fixed
+
+
 def _east_whole(text: str, wrong: str, meant: str) -> str | None:
     """text with all its lines decoded as meant; None if any isn't. What wrong has no byte for was never
     read with it and stays."""
@@ -443,49 +467,148 @@ _PIECE = re.compile(r"[\u2E80-\u9FFF\uAC00-\uD7FF\uFF00-\uFFEF]+|[^\x00-\x7f\u2E
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
-def repair(text: str, model: Model) -> tuple[bool, str | None, str | None]:
-    """(damaged, restored text where all damage could be undone, how)."""
-    if not text or text.isascii() and not _ENTITY.search(text):
-        return False, text, None
-    shown = _QUOTED.sub(lambda m: "x" * len(m.group()), _MENTIONED.sub(lambda m: "x" * len(m.group()), text))
-    entity = _ENTITY.search(shown)
-    plain = shown
-    if entity:
-        plain = _ENTITY.sub(lambda m: chr(int(m.group(1))), shown)
-        text = _ENTITY.sub(lambda m: chr(int(m.group(1))), text)
-    if plain.isascii():
-        return False, text, None
-    codes = _codes(plain)
-    segments = model.segments(plain, codes)
-    if not segments:
-        return False, text, None
-    lost = "�" in plain
-    out, at, undone = [], 0, 0
-    for a, b in segments:
-        for m in _PIECE.finditer(plain, a, b):
+_LEFT = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
+
+
+def _whole(restored: str, model: Model) -> str | None:
+    """The restored text, unless there is none, or it would be found damaged itself."""
+    if not restored or _LEFT.search(restored):
+        return None
+    return None if repair(restored, model, again=True)[0] else restored
+
+
+class _Shown:
+    """A text with its numeric entities decoded (shown), the same with what it quotes or speaks of masked
+    (plain, of equal length), and the place in the source at which each of their characters begins."""
+
+    def __init__(self, source: str):
+        self.source = source
+        hidden = sorted(m.span() for r in (_QUOTED, _MENTIONED) for m in r.finditer(source))
+        shown: list[str] = []
+        plain: list[str] = []
+        starts: list[np.ndarray] = []
+        self.masked: list[tuple[int, int]] = []
+        size = 0
+
+        def take(a: int, b: int, masked: bool) -> None:
+            nonlocal size
+            if a < b:
+                if masked:
+                    self.masked.append((size, size + b - a))
+                size += b - a
+                shown.append(source[a:b])
+                plain.append("x" * (b - a) if masked else source[a:b])
+                starts.append(np.arange(a, b))
+
+        at = 0
+        for a, b in [*hidden, (len(source), len(source))]:
+            for m in _ENTITY.finditer(source, at, max(a, at)):
+                take(at, m.start(), False)
+                shown.append(chr(int(m.group(1))))
+                plain.append(shown[-1])
+                starts.append(np.array([m.start()]))
+                size += 1
+                at = m.end()
+            take(at, a, False)
+            take(max(a, at), b, True)
+            at = max(at, b)
+        self.shown, self.plain = "".join(shown), "".join(plain)
+        self.start = np.append(np.concatenate(starts) if starts else np.array([], np.int64), len(source))
+
+    def unmasked(self, segments: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """The parts of segments that lie in no quotation."""
+        for a, b in segments:
+            for c, d in self.masked:
+                if c < b and d > a:
+                    if a < c:
+                        yield a, c
+                    a = d
+            if a < b:
+                yield a, b
+
+    def spelled(self, a: int, b: int) -> str:
+        """The characters a to b as the source has them."""
+        return self.source[self.start[a] : self.start[b]]
+
+
+def _by_runs(it: _Shown, first: int, last: int, fixed: str) -> list[tuple[int, int, str]]:
+    """The piece's reading run by run where that makes the same, so that an entity between its runs stays one."""
+    if it.start[last] - it.start[first] == last - first:
+        return [(first, last, fixed)]
+    runs = [(*m.span(), undo_utf8(m.group())) for m in _RUN.finditer(it.plain, first, last)]
+    runs = [r for r in runs if r[2]]
+    at, made = first, ""
+    for a, b, new in runs:
+        made += it.plain[at:a] + new
+        at = b
+    return runs if made + it.plain[at:last] == fixed else [(first, last, fixed)]
+
+
+def _undone(it: _Shown, segments: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], bool]:
+    """(places and readings of the pieces of segments that are UTF-8, whether another piece is lost)."""
+    out, lost = [], False
+    for a, b in it.unmasked(segments):
+        for m in _PIECE.finditer(it.plain, a, b):
             first, last = m.span()
             fixed = undo_utf8(m.group())
             if fixed is None and _EASTERN.match(m.group()):
-                follow = plain[last : last + 1]
+                follow = it.plain[last : last + 1]
                 fixed = undo_utf8(m.group() + follow) if follow and ord(follow) < 128 else None
                 last += fixed is not None
             if fixed is None:
-                if re.match(r"â€|â\x80", m.group()):
-                    lost = True
-                continue
-            undone += 1
-            out += [text[at:first], fixed]
+                lost |= bool(re.match(r"â€|â\x80", m.group()))
+            elif not out or first >= out[-1][1]:
+                out += _by_runs(it, first, last, fixed)
+    return out, lost
+
+
+def repair(text: str, model: Model, again: bool = False) -> tuple[bool, str | None, str | None]:
+    """(damaged, restored text where all damage could be undone, how). What isn't damaged, quotations and
+    entities too, stands in the restored text as it was. A restored text is looked at again: with again, only
+    whether it's damaged is told."""
+    if not text or text.isascii() and not _ENTITY.search(text):
+        return False, text, None
+    it = _Shown(text)
+    if it.plain.isascii():
+        return False, text, None
+    codes = _codes(it.plain)
+    segments = model.segments(it.plain, codes)
+    if not segments:
+        return False, text, None
+    lost = "�" in it.plain
+    found, broken = _undone(it, segments)
+    if found:
+        # the field is known to be damaged: less improbable segments are tested too, run by run
+        taken = np.zeros(len(it.plain) + 1, bool)
+        for first, last, _ in found:
+            taken[first:last] = True
+        for a, b in it.unmasked(model.segments(it.plain, codes, DAMAGED)):
+            for m in _RUN.finditer(it.plain, a, b):
+                fixed = None if taken[m.start() : m.end()].any() else undo_utf8(m.group())
+                if fixed:
+                    found.append((*m.span(), fixed))
+        out, at = [], 0
+        for first, last, fixed in sorted(found):
+            out += [it.spelled(at, first), fixed]
             at = last
-    if undone:
-        # the record is known to be damaged: now its remaining foreign runs are tested too
-        restored = _RUN.sub(lambda m: undo_utf8(m.group()) or m.group(), "".join(out) + text[at:])
-        return True, None if lost else restored, "utf-8"
-    if lost:
+        if lost or broken or again:
+            return True, None, "utf-8"
+        restored = _whole("".join(out) + it.spelled(at, len(it.plain)), model)
+        if restored is None:
+            # bytes of another encoding can look like UTF-8 here and there
+            other = _other_reading(it.plain, it.shown, segments, model)
+            again = _whole(other[2], model) if other else None
+            if again:
+                return True, again, f"{other[1]} as {other[0]}"
+        return True, restored, "utf-8"
+    if lost or broken:
         return True, None, None
     # a run that isn't UTF-8 is damage only if another encoding reads far better
-    other = _other_reading(plain, text, segments, model)
+    other = _other_reading(it.plain, it.shown, segments, model)
+    if other and again:
+        return True, None, None
     if other:
-        return True, other[2] or None, f"{other[1]} as {other[0]}"
+        return True, _whole(other[2], model), f"{other[1]} as {other[0]}"
     return False, text, None
 
 

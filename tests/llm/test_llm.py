@@ -81,6 +81,34 @@ def test_damage_in_entities_only(model):
         assert not mojibake.repair(clean, model)[0]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_exact_text_or_none(model, seed):
+    """Clean texts with quotations, entities and named characters, garbled around those: the restored text is
+    exactly the one before, or there is none."""
+    rng = random.Random(seed)
+    clean = CLEAN[seed % 4]
+    kept = ["`git status --short`", "`Ã©`", "&#228;", "&#8217;", "the character \ufffd", "`&#228;`", "plain words"]
+    wrong = rng.choice(["latin_1", "mac_roman", "cp437"]) if seed % 4 != 3 else "latin_1"
+    parts, bad = [], []
+    for piece in clean.split(" "):
+        parts.append(piece)
+        bad.append(piece.encode().decode(wrong))
+        if rng.random() < 0.4:
+            parts.append(rng.choice(kept))
+            bad.append(parts[-1])
+    want, text = " ".join(parts), " ".join(bad)
+    damaged, restored, _ = mojibake.repair(text, model)
+    assert damaged and restored in (None, want)
+
+
+def test_quotations_of_a_field_read_wrongly(model):
+    text = CLEAN[3] + " Команда `git status --short` и ещё слово и сервер."
+    bad = text.encode("cp1251").decode("cp1252")
+    assert mojibake.repair(bad, model)[:2] in ((True, text), (True, None))
+    mixed = "Entity `&#228;` and &#252;ber dann schÃ¶n grÃ¼n danach"
+    assert mojibake.repair(mixed, model)[:2] in ((True, "Entity `&#228;` and &#252;ber dann schön grün danach"), (True, None))
+
+
 def test_garbled_edges(spark):
     rows = [(1, None, None, "c"), (2, "", " ", "c"), (2, "cafÃ© au lait", "café", "c"), (2, "cafÃ© au lait", "café", "c"), (3, "é" * 300_000, None, "c")]
     df = spark.createDataFrame(rows, "scrape_id bigint, text string, raw_text string, slot string")
@@ -171,7 +199,7 @@ def test_nothing_is_too_long(spark):
 def test_lines_are_grouped_by_likeness(spark):
     lines = ["page one of the big book is gone", "page two of the big book is gone", "page one and many other things we sell"]
     df = spark.createDataFrame([(i, t, f"s{i}", i > 0) for i, t in enumerate(lines)], "id bigint, text string, site string, bad boolean")
-    groups, members = residue.line_groups(residue.record_lines(df))
+    groups, members, _ = residue.line_groups(residue.record_lines(df))
     got = {r["template"]: (r["lines"], r["bad"], r["known"], r["low"] < r["high"]) for r in groups.collect()}
     assert got["page <*> of the big book is gone"] == (2, 1, 2, True) or got["page one of the big book is gone"][0] == 1
     assert members.count() == 3

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from pagequern.functions.page import best_first_score
 from pagequern.functions.url import host, matches_any
-from pagequern.session import settle
+from pagequern.session import measured_join, settle
 
 
 def admitted(url: Column, seed: Column, depth: Column, max_depth: int = 3, same_origin: bool = True, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
@@ -67,22 +67,50 @@ def redirect_targets(hops: DataFrame, limit: int = 5) -> DataFrame:
     return state.select("url", "final", (F.size("path") - 1).alias("hops"), F.when(F.col("status") == "open", "limit").otherwise(F.col("status")).alias("status"))
 
 
-def robots_rules(bodies: DataFrame) -> DataFrame:
-    """bodies (host, body) -> (host, agent, allow, path, pos) of the groups of robots.txt."""
-    lines = bodies.select("host", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line"))
+def _robots_lines(bodies: DataFrame) -> DataFrame:
+    """bodies (host, body) -> (host, pos, field, value) of the lines of robots.txt that say something."""
+    lines = bodies.select("host", F.posexplode(F.split("body", "\r\n?|\n")).alias("pos", "line"))
     field = F.lower(F.trim(F.substring_index("line", ":", 1)))
-    value = F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), "#.*$", ""))
-    rules = lines.where(F.instr("line", ":") > 0).select("host", "pos", field.alias("field"), value.alias("value"))
+    value = F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), r"(?:^|\s)#.*$", ""))
+    return lines.where((F.instr("line", ":") > 0) & ~F.trim("line").startswith("#")).select("host", "pos", field.alias("field"), value.alias("value"))
+
+
+def _robots_groups(bodies: DataFrame) -> DataFrame:
+    """(host, agent, field, value, pos): each line of a group for each of the group's agents."""
     w = W.partitionBy("host").orderBy("pos")
-    agent = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), True).over(w)
-    return rules.withColumn("agent", agent).where(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).select("host", "agent", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"), "pos")
+    said = _robots_lines(bodies).where(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
+    grouped = said.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(w)).drop("opens")
+    agents = grouped.where("field = 'user-agent'").select("host", "group", F.lower("value").alias("agent"))
+    return grouped.where("field <> 'user-agent'").join(agents.distinct(), ["host", "group"]).select("host", "agent", "field", "value", "pos")
+
+
+def robots_rules(bodies: DataFrame) -> DataFrame:
+    """bodies (host, body) -> (host, agent, allow, path, pos) of the groups of robots.txt; of several agents over
+    one group each has its rules. Rules before the first agent, and empty ones, are none."""
+    found = _robots_groups(bodies).where(F.col("field").isin("allow", "disallow") & (F.col("value") != ""))
+    return found.select("host", "agent", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"), "pos")
+
+
+def crawl_delays(bodies: DataFrame) -> DataFrame:
+    """bodies (host, body) -> (host, agent, seconds): the first crawl-delay of each agent that is a number."""
+    found = _robots_groups(bodies).where("field = 'crawl-delay'").withColumn("seconds", F.col("value").try_cast("double")).where("seconds >= 0")
+    return found.groupBy("host", "agent").agg(F.min_by("seconds", "pos").alias("seconds"))
+
+
+def robots_sitemaps(bodies: DataFrame) -> DataFrame:
+    """bodies (host, body) -> (host, sitemap): the sitemaps that robots.txt names, each once."""
+    return _robots_lines(bodies).where("field = 'sitemap' AND value <> ''").select("host", F.col("value").alias("sitemap")).distinct()
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (url, host, path): the longest matching rule decides, allow at ties; no rule allows."""
-    own = rules.where(F.col("agent") == agent).select("host", "allow", F.col("path").alias("prefix"))
-    matched = urls.join(own, "host", "left").withColumn("hit", F.col("path").startswith(F.col("prefix")))
-    best = F.max(F.when(F.col("hit"), F.struct(F.length("prefix").alias("n"), F.col("allow").alias("a"))))
+    """urls (url, host, path): the longest matching rule decides, allow at ties; no rule allows. In a rule * is
+    any run of characters, and $ at its end the path's end."""
+    escaped = F.regexp_replace(F.regexp_replace("path", r"[.+?()\[\]{}|^\\$]", r"\\$0"), r"\*", ".*")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(escaped, r"\\\$$", r"\$"))
+    own = rules.where(F.col("agent") == agent).select("host", "allow", F.length("path").alias("n"), pattern.alias("pattern"))
+    matched = measured_join(urls, own, ["host"], "left").withColumn("hit", F.regexp_like("path", F.col("pattern")))
+    best = F.max(F.when(F.col("hit"), F.struct("n", F.col("allow").alias("a"))))
     return matched.groupBy("url").agg(F.coalesce(best["a"], F.lit(True)).alias("allowed"))
 
 

@@ -42,3 +42,15 @@ def test_pages_heads_and_deep_headings(spark, tmp_path):
     assert got == {(1, "refresh", "https://a.example/next"), (1, "alternate", "https://a.example/a.md")}
     found = {(r["page_id"], r["tag"]) for r in catalog.QUERIES["heal_selector"](spark, str(tmp_path)).collect()}
     assert found == {(1, "h1"), (2, "h1")}
+
+
+def test_robots_groups_wildcards_and_delays(spark):
+    body = "Disallow: /early\n# note\nUser-agent: One\nUser-agent: *\nDisallow: /a*b$\nDisallow: /c.d # why\nAllow: /c.d/e\nCrawl-delay: 2.5\nSitemap: https://h/s.xml\n\nUser-agent: Two\nDisallow:\nCrawl-delay: x\n"
+    bodies = spark.createDataFrame([("h", body), ("i", None)], "host string, body string")
+    assert {(r["agent"], r["allow"], r["path"]) for r in crawl.robots_rules(bodies).collect()} == {(a, *r) for a in ("one", "*") for r in ((False, "/a*b$"), (False, "/c.d"), (True, "/c.d/e"))}
+    paths = ["/axxb", "/axxbc", "/c.d/x", "/cxd", "/c.d/e", "/early", "/"]
+    urls = spark.createDataFrame([(f"u{p}", "h", p) for p in paths] + [("v", "j", "/")], "url string, host string, path string")
+    got = {r["url"]: r["allowed"] for r in crawl.robots_allowed(urls, crawl.robots_rules(bodies)).collect()}
+    assert {k for k, v in got.items() if not v} == {"u/axxb", "u/c.d/x"} and len(got) == 8
+    assert [tuple(r) for r in crawl.crawl_delays(bodies).orderBy("agent").collect()] == [("h", "*", 2.5), ("h", "one", 2.5)]
+    assert [tuple(r) for r in crawl.robots_sitemaps(bodies).collect()] == [("h", "https://h/s.xml")]

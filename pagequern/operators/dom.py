@@ -1,7 +1,7 @@
 """HTML as a node table, selectors as joins over it, and what is read off a page's tree.
 
 One pass of the standard library's tolerant parser per page gives rows (page, pre, post, level, parent, tag,
-attrs, own): in pre-order numbers, so that a descendant is an interval and a child an equality. Selectors are
+attrs, own, text, path): in pre-order numbers, so that a descendant is an interval and a child an equality. Selectors are
 compiled on the driver into filters and equi-joins on the page with such residual conditions.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-NODES = "page bigint, pre int, post int, level int, parent int, tag string, attrs map<string,string>, own string, text string, links int"
+NODES = "page bigint, pre int, post int, level int, parent int, tag string, attrs map<string,string>, own string, text string, links int, path array<string>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _CLOSE_P = {"div", "section", "article", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "form", "main", "nav", "aside", "header", "footer", "p"}
@@ -122,10 +122,12 @@ def node_table(pages: DataFrame) -> DataFrame:
             for page, html in zip(pdf["page"], pdf["html"], strict=True):
                 if html is None:
                     continue
+                path: dict[int, list[str]] = {0: []}
                 for x in walk(parse(html))[1:]:
+                    path[x.pre] = [*path[x.parent.pre], x.tag]
                     own = " ".join("".join(c for c in x.children if isinstance(c, str)).split())
                     links = sum(len(a.shown()) for a in walk_links(x))
-                    rows.append((page, x.pre, x.post, x.level, x.parent.pre, x.tag, x.attrs, own, x.shown(), links))
+                    rows.append((page, x.pre, x.post, x.level, x.parent.pre, x.tag, x.attrs, own, x.shown(), links, path[x.pre]))
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page", "html").mapInPandas(run, NODES)
@@ -267,11 +269,8 @@ def fingerprints(nodes: DataFrame) -> DataFrame:
     """(page, pre, tag, attrs, text, path, parent_tag, siblings, children) of every element."""
     up = nodes.select("page", F.col("pre").alias("parent"), F.col("tag").alias("parent_tag"))
     kids = nodes.groupBy("page", F.col("parent").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("pre", "tag")))["tag"].alias("children"))
-    chain = nodes.select("page", "pre", "post", "tag")
-    above = nodes.select("page", F.col("pre").alias("d"), F.col("post").alias("dp")).join(chain, "page").where((F.col("pre") <= F.col("d")) & (F.col("post") >= F.col("dp")))
-    path = above.groupBy("page", F.col("d").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("pre", "tag")))["tag"].alias("path"))
     mates = nodes.groupBy("page", "parent").agg(F.array_sort(F.collect_list(F.struct("pre", "tag")))["tag"].alias("siblings"))
-    out = nodes.join(up, ["page", "parent"], "left").join(kids, ["page", "pre"], "left").join(path, ["page", "pre"]).join(mates, ["page", "parent"])
+    out = nodes.join(up, ["page", "parent"], "left").join(kids, ["page", "pre"], "left").join(mates, ["page", "parent"])
     return out.select("page", "pre", "tag", "attrs", "own", "path", "parent_tag", "siblings", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
 
 

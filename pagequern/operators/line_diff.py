@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -26,22 +27,42 @@ def multiset_diff(pairs: DataFrame) -> DataFrame:
     return both.groupBy("pair").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("unchanged"), F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"))
 
 
+def edit_distance(left: str, right: str) -> int:
+    """Levenshtein distance, a whole column of the table at a time: its differences are bits of two integers
+    (Myers 1999, Hyyro 2003)."""
+    if not left or not right:
+        return len(left) + len(right)
+    every = (1 << len(left)) - 1
+    top = 1 << (len(left) - 1)
+    where: dict[str, int] = defaultdict(int)
+    for i, x in enumerate(left):
+        where[x] |= 1 << i
+    up, down, distance = every, 0, len(left)
+    for y in right:
+        same = where.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more = down | (every & ~(across | up))
+        less = up & across
+        distance += bool(more & top) - bool(less & top)
+        more = ((more << 1) | 1) & every
+        less = (less << 1) & every
+        kept = same | down
+        up, down = less | (every & ~(kept | more)), more & kept
+    return distance
+
+
+_WORDS = re.compile(r"[^\W_]+")
+
+
 def similarity(left: str, right: str) -> float:
     """The greater of 1 - edit distance / longer length and the Jaccard similarity of the words."""
-    import re
-
     if left == right:
         return 1.0
     if not left or not right:
         return 0.0
-    a, b = (set(re.findall(r"[^\W_]+", x.lower())) for x in (left, right))
+    a, b = (set(_WORDS.findall(x.lower())) for x in (left, right))
     words = len(a & b) / len(a | b) if a and b else 0.0
-    row = list(range(len(right) + 1))
-    for i, x in enumerate(left, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(right, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return max(words, 1 - row[-1] / max(len(left), len(right)))
+    return max(words, 1 - edit_distance(left, right) / max(len(left), len(right)))
 
 
 def diff_lines(previous: list[str], current: list[str]) -> list[tuple]:

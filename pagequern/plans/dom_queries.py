@@ -46,7 +46,8 @@ def main_content(spark: SparkSession, base: str) -> DataFrame:
 
 
 def heal_selector(spark: SparkSession, base: str) -> DataFrame:
-    """The h1 of page 1 looked for on every page by its fingerprint, without its tag's selector."""
+    """The h1 of page 1 looked for on every page by its fingerprint, without its tag's selector. The stored side of
+    the join is one row."""
     marks = settle(dom.fingerprints(settle(dom.node_table(_pages(spark, base)))))
     stored = marks.where("tag = 'h1'").orderBy("page", "pre").limit(1).select(F.lit(1).alias("k"), F.struct(*[F.col(c) for c in marks.columns]).alias("old"))
     scored = marks.select(F.lit(1).alias("k"), F.struct(*[F.col(c) for c in marks.columns]).alias("new")).join(F.broadcast(stored), "k").select(F.col("new.page").alias("page_id"), "new.pre", "new.tag", dom.fingerprint_similarity("old", "new").alias("likeness"))

@@ -88,12 +88,14 @@ def markdown_code(spark: SparkSession, base: str) -> DataFrame:
 
 
 def markdown_sections(spark: SparkSession, base: str) -> DataFrame:
-    """Each heading's section: up to the next heading of its level or above."""
+    """Each heading's section: to the line before the next heading of its level or higher. For every level the
+    nearest such line is a running minimum from the end, so a document is sorted once and no pairs are made."""
     heads = markdown_headings(spark, base)
-    later = heads.select(F.col("input_id").alias("other"), F.col("line_no").alias("next_no"), F.col("level").alias("next_level"))
-    follows = (F.col("input_id") == F.col("other")) & (F.col("next_no") > F.col("line_no")) & (F.col("next_level") <= F.col("level"))
-    ends = heads.join(later, follows, "left").groupBy("input_id", "line_no", "level", "heading").agg(F.min("next_no").alias("end_no"))
-    return ends.select("input_id", "line_no", "level", "end_no")
+    later = W.partitionBy("input_id").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
+    ends = F.lit(None).cast("int")
+    for level in range(1, 7):
+        ends = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("line_no"))).over(later)).otherwise(ends)
+    return heads.select("input_id", "line_no", "level", ends.alias("end_no"))
 
 
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:

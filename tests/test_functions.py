@@ -155,3 +155,19 @@ def test_ranking_without_shuffle(spark):
     assert [(r["doc"], r["block"], r["rank"]) for r in top.collect()] == [(1, 0, 1), (1, 1, 2), (1, 0, 1)]
     assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
     assert ranking.cosine_top(df, " ").count() == 0
+
+
+def test_edit_distance_is_the_tables():
+    import random
+
+    from pagequern.operators.line_diff import edit_distance
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert edit_distance(a, b) == row[-1]

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pagequern.session import table
 
@@ -127,6 +128,22 @@ def p6_chunks(spark: SparkSession, base: str) -> DataFrame:
     return split_oversized(table(spark, base, "chunk_inputs"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_chunks": p6_chunks}
+def p6_kept(spark: SparkSession, base: str) -> DataFrame:
+    """Whether the pieces keep the rules: records cut, pieces over their limit, places between consecutive pieces
+    where something but white space is left out, and pieces that aren't the text they say they are."""
+    inputs = table(spark, base, "chunk_inputs").select("input_id", "markdown", F.coalesce("max_tokens", F.lit(MAX_TOKENS)).alias("most"))
+    white = F.lit("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
+    whole = F.btrim(F.regexp_replace("markdown", "\r\n?", "\n"), white)
+    pieces = split_oversized(table(spark, base, "chunk_inputs")).join(inputs.select("input_id", "most", whole.alias("whole")), "input_id")
+    after = F.lead("char_start").over(W.partitionBy("input_id").orderBy("chunk_index"))
+    between = F.when(after > F.col("char_end"), F.btrim(F.expr("substring(whole, char_end + 1, after - char_end)"), white) != "").otherwise(F.lit(False))
+    own = F.btrim(F.expr("substring(whole, char_start - overlap_chars + 1, char_end - char_start + overlap_chars)"), white)
+    kept = pieces.withColumn("after", after).withColumns({"over": F.col("token_count") > F.greatest("most", F.lit(1)), "lost": between, "other": own != F.col("text")})
+    return kept.agg(F.count_if(F.col("chunk_index") == 0).alias("records"), F.count_if("over").alias("over"), F.count_if("lost").alias("lost"), F.count_if("other").alias("other"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_chunks": p6_chunks, "p6_kept": p6_kept}
 _TRIMMED = r"regexp_replace(regexp_replace(replace(replace(markdown, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\s\x{00A0}\x{3000}\x{2000}-\x{200A}]+', ''), '[\s\x{00A0}\x{3000}\x{2000}-\x{200A}]+$', '')"
-ORACLES = {"p6_found": f"SELECT input_id FROM chunk_inputs WHERE markdown IS NOT NULL AND ceil(length({_TRIMMED}) / 4.0) > coalesce(max_tokens, 500)"}
+ORACLES = {"p6_found": f"SELECT input_id FROM chunk_inputs WHERE markdown IS NOT NULL AND ceil(length({_TRIMMED}) / 4.0) > coalesce(max_tokens, 500)",
+    "p6_kept": f"SELECT count(*) AS records, 0 AS over, 0 AS lost, 0 AS other FROM chunk_inputs WHERE markdown IS NOT NULL AND ceil(length({_TRIMMED}) / 4.0) > coalesce(max_tokens, 500)",
+}

@@ -74,4 +74,5 @@ ORACLES = {
     "json_walk": "WITH l AS (SELECT snapshot_id, unnest(links) AS l, generate_subscripts(links, 1) AS p FROM snapshots), f AS (SELECT snapshot_id, l.url AS href, p FROM l WHERE l.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, l.url ORDER BY p) = 1) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY p) - 1 AS pos, href FROM f",
     "docstring_exports": "SELECT * FROM (VALUES ('add', 'function', 'Adds.', 'a,b', 1), ('Box', 'class', 'A box.', '', 9)) t(name, kind, description, params, line)",
     "stream_snapshots": "WITH s AS (SELECT hash(paragraphs) AS h, lag(hash(paragraphs)) OVER w AS b, row_number() OVER w AS k FROM snapshots WINDOW w AS (PARTITION BY url, coalesce(snapshot_name, '') ORDER BY delivery, taken_at, snapshot_id)) SELECT CASE WHEN k = 1 THEN 'first' WHEN h = b THEN 'same' ELSE 'changed' END AS change, count(*) AS snapshots FROM s GROUP BY 1",
+    "stream_windows": "WITH w AS (SELECT event_type, date_trunc('hour', ts) + INTERVAL 1 HOUR AS closes, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, count(*) AS windows, sum(n) AS events FROM w WHERE closes <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY event_type",
 }

@@ -197,14 +197,14 @@ def test_nothing_is_too_long(spark):
 
 
 def test_lines_are_grouped_by_likeness(spark):
-    lines = ["page one of the big book is gone", "page two of the big book is gone", "page one and many other things we sell"]
+    lines = ["the old page number one is gone now", "the old page number two is gone now", "the old page and many other things sold"]
     df = spark.createDataFrame([(i, t, f"s{i}", i > 0) for i, t in enumerate(lines)], "id bigint, text string, site string, bad boolean")
     groups, members, _ = residue.line_groups(residue.record_lines(df))
     got = {r["template"]: (r["lines"], r["bad"], r["known"], r["low"] < r["high"]) for r in groups.collect()}
-    assert got["page <*> of the big book is gone"] == (2, 1, 2, True) or got["page one of the big book is gone"][0] == 1
+    assert got == {"the old page number <*> is gone now": (2, 1, 2, True), lines[2]: (1, 1, 1, False)}
     assert members.count() == 3
-    pdf = pd.DataFrame({"leaf": [1, 1, 1, 2], "masked": [*lines, "page one of the big book is gone"]})
-    assert residue._group_lines(pdf)["template"].tolist() == ["page <*> of the big book is gone"] * 2 + [lines[2], "page one of the big book is gone"]
+    pdf = pd.DataFrame({"leaf": [1, 1, 1, 2], "masked": [*lines, lines[0]]})
+    assert residue._group_lines(pdf)["template"].tolist() == ["the old page number <*> is gone now"] * 2 + [lines[2], lines[0]]
 
 
 # 5 ----------------------------------------------------------------------------------------------------------
@@ -438,8 +438,8 @@ def test_marks_of_any_number_are_taken_off(mark):
 
 def test_thresholds_lie_between_the_heaps(spark):
     rng = np.random.default_rng(2)
-    rows = [("aa", float(x), x > -3, False) for x in np.concatenate([rng.normal(-9, 1, 300), rng.normal(0, 0.7, 3000)])]
-    rows += [("bb", float(x), x > -3, False) for x in np.concatenate([rng.normal(-6, 0.6, 300), rng.normal(-1, 0.5, 3000)])] + [(None, -0.5, True, False), ("aa", None, False, False)]
+    rows = [("aa", float(x), bool(x > -3), False) for x in np.concatenate([rng.normal(-9, 1, 300), rng.normal(0, 0.7, 3000)])]
+    rows += [("bb", float(x), bool(x > -3), False) for x in np.concatenate([rng.normal(-6, 0.6, 300), rng.normal(-1, 0.5, 3000)])] + [(None, -0.5, True, False), ("aa", None, False, False)]
     got = {r["lang_"]: r["threshold"] for r in truncation.thresholds(spark.createDataFrame(rows, "lang string, score double, closed boolean, title boolean")).collect()}
     assert -7 < got["aa"] < -2 and -4.6 < got["bb"] < -2.4 and -7 < got["\x00"] < -2
 

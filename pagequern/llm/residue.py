@@ -68,13 +68,13 @@ def _leaf(tokens: Column) -> Column:
 
 def record_lines(records: DataFrame) -> DataFrame:
     """(id, masked, h, leaf, content, share, site, bad) of the non-blank lines outside code blocks of records (id,
-    text and, if there are, site and bad); written once. masked is in lower case; content says that the line is
+    text and, if there are, site and a boolean bad); written once. masked is in lower case; content says that the line is
     a sentence, not a title or the page's frame; share is its part of the record's text; bad says that the
     fetch was refused."""
     bare = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)^\s*```[^\n]*\n(?:(?!\s*```)[^\n]*\n)*?\s*```[^\n]*$", "```")
     bare = F.when(F.instr("text", "```") > 0, bare).otherwise(F.replace("text", F.lit("\r"), F.lit("\n")))
     site = F.xxhash64("site") if "site" in records.columns else F.lit(0).cast("bigint")
-    bad = F.col("bad") if "bad" in records.columns else F.lit(None).cast("boolean")
+    bad = F.col("bad") if dict(records.dtypes).get("bad") == "boolean" else F.lit(None).cast("boolean")
     lines = records.select("id", site.alias("site"), bad.alias("bad"), F.length("text").alias("chars"), F.posexplode(F.split(bare, "\n")).alias("pos", "line")).where(F.trim("line") != "")
     masked = lines.select("*", _masked(F.col("line")).alias("masked")).select("*", F.split("masked", r"\s+").alias("tokens"))
     sentence = (F.length("line") >= SENTENCE_CHARS) | (F.size("tokens") >= SENTENCE_TOKENS) | F.col("line").rlike(r"[\u3040-\u9FFF]{6}")

@@ -166,6 +166,8 @@ def test_residue(spark):
     found = {r["id"] for r in residue.residue_records(spark.createDataFrame(rows, "id bigint, text string, leaf string")).collect()}
     assert found == set(range(len(RESIDUE)))
     assert residue.residue_records(spark.createDataFrame([], "id bigint, text string")).count() == 0
+    other = spark.createDataFrame([(1, RESIDUE[3], None, "x", 7), (2, CONTENT[0], "s", None, None)], "id bigint, text string, site string, bad string, lines int")
+    assert [r["id"] for r in residue.residue_records(other).collect()] == [1]
 
 
 def test_messages_beside_ordinary_lines(spark):

@@ -114,16 +114,52 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
     return matched.groupBy("url").agg(F.coalesce(best["a"], F.lit(True)).alias("allowed"))
 
 
-def sitemap_entries(files: DataFrame) -> DataFrame:
-    """files (source, body) -> (source, kind: url or sitemap, loc, lastmod)."""
-    block = r"(?is)<(url|sitemap)>\s*(.*?)\s*</\1>"
-    blocks = files.select("source", F.explode(F.regexp_extract_all("body", F.lit(block), F.lit(0))).alias("b"))
+def sitemap_entry(block: str) -> Column:
+    """struct(kind, loc, lastmod) of a <url> or <sitemap> element."""
 
     def tag(name: str) -> Column:
-        inner = F.regexp_extract("b", rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1)
+        inner = F.regexp_extract(block, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1)
         return F.nullif(F.trim(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit(""))
 
-    return blocks.select("source", F.lower(F.regexp_extract("b", "(?i)^<(url|sitemap)", 1)).alias("kind"), tag("loc").alias("loc"), tag("lastmod").alias("lastmod")).where("loc IS NOT NULL")
+    return F.struct(F.lower(F.regexp_extract(block, "(?i)^<(url|sitemap)", 1)).alias("kind"), tag("loc").alias("loc"), tag("lastmod").alias("lastmod"))
+
+
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """files (source, body) -> (source, kind: url or sitemap, loc, lastmod)."""
+    block = r"(?is)<(url|sitemap)>\s*(.*?)\s*</\1>"
+    blocks = files.select("source", F.explode(F.regexp_extract_all("body", F.lit(block), F.lit(0))).alias("b"))
+    return blocks.select("source", sitemap_entry("b").alias("e")).select("source", "e.*").where("loc IS NOT NULL")
+
+
+def discover_urls(files: DataFrame, max_sitemaps: int = 20) -> DataFrame:
+    """files (site, url, kind: robots, sitemap or llms, body) -> (site, url, source, source_url, lastmod, title).
+
+    A site's sitemaps are those its robots.txt names, in order, then /sitemap.xml, then what these name in turn;
+    the first max_sitemaps of a site are read. Of a URL named several times the last counts, links of llms.txt
+    after all sitemaps. NULL bodies hold nothing. The queue of a site has at most max_sitemaps rows.
+    """
+    named = _robots_lines(files.where("kind = 'robots'").select(F.col("site").alias("host"), "body")).where("field = 'sitemap' AND value <> ''")
+    default = files.select("site").distinct().select("site", F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.lit(2**31 - 1).alias("pos"))
+    first = named.select(F.col("host").alias("site"), F.col("value").alias("url"), "pos").unionByName(default).groupBy("site", "url").agg(F.min("pos").alias("pos"))
+    turn = lambda before: (F.row_number().over(W.partitionBy("site").orderBy(*before))).alias("turn")
+    queue = settle(first.select("site", "url", turn(["pos", "url"])).where(F.col("turn") <= max_sitemaps))
+    bodies = files.where("kind = 'sitemap'").select("site", "url", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<(url|sitemap)>\s*(.*?)\s*</\1>"), F.lit(0))).alias("pos", "body"))
+    entries = settle(bodies.select("site", "url", "pos", sitemap_entry("body").alias("e")).where("e.loc IS NOT NULL"))
+    while True:
+        found = entries.where("e.kind = 'sitemap'").join(queue, ["site", "url"]).groupBy("site", F.col("e.loc").alias("url")).agg(F.min(F.struct("turn", "pos")).alias("at"))
+        fresh = found.join(queue, ["site", "url"], "left_anti").select("site", "url", "at.turn", "at.pos", F.lit(1).alias("new"))
+        both = queue.select("site", "url", "turn", F.lit(0).alias("pos"), F.lit(0).alias("new")).unionByName(fresh)
+        grown = settle(both.select("site", "url", turn(["new", "turn", "pos", "url"])).where(F.col("turn") <= max_sitemaps))
+        if grown.count() == queue.count():
+            break
+        queue = grown
+    nothing = F.lit(None).cast("string")
+    mapped = entries.where("e.kind = 'url'").join(queue, ["site", "url"]).select("site", F.col("e.loc").alias("url"), F.struct(F.lit(0).alias("k"), "turn", "pos").alias("o"), F.lit("sitemap").alias("source"), F.col("url").alias("source_url"), F.col("e.lastmod").alias("lastmod"), nothing.alias("title"))
+    llms = files.where("kind = 'llms'")
+    listed = llms_links(llms.select(F.struct("site", "url").alias("source"), "body"))
+    listed = listed.select("source.site", "url", F.struct(F.lit(1).alias("k"), F.lit(0).alias("turn"), F.lit(0).alias("pos")).alias("o"), F.lit("llms").alias("source"), F.col("source.url").alias("source_url"), nothing.alias("lastmod"), "title")
+    last = mapped.unionByName(listed).groupBy("site", "url").agg(F.max_by(F.struct("source", "source_url", "lastmod", "title"), "o").alias("r"))
+    return last.select("site", "url", "r.*")
 
 
 def llms_links(files: DataFrame) -> DataFrame:

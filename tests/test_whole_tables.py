@@ -54,3 +54,21 @@ def test_robots_groups_wildcards_and_delays(spark):
     assert {k for k, v in got.items() if not v} == {"u/axxb", "u/c.d/x"} and len(got) == 8
     assert [tuple(r) for r in crawl.crawl_delays(bodies).orderBy("agent").collect()] == [("h", "*", 2.5), ("h", "one", 2.5)]
     assert [tuple(r) for r in crawl.robots_sitemaps(bodies).collect()] == [("h", "https://h/s.xml")]
+
+
+def test_discovered_urls(spark):
+    one = lambda *locs, tag="url": "<x>" + "".join(f"<{tag}><loc>{x}</loc><lastmod>{m}</lastmod></{tag}>" for x, m in locs) + "</x>"
+    files = [
+        ("https://a", "https://a/robots.txt", "robots", "Sitemap: https://a/one.xml\nUser-agent: *\nSitemap: https://a/one.xml"),
+        ("https://a", "https://a/one.xml", "sitemap", one(("https://a/p", "1"), ("https://a/q", "1")) + one(("https://a/deep.xml", ""), ("https://a/one.xml", ""), tag="sitemap")),
+        ("https://a", "https://a/sitemap.xml", "sitemap", one(("https://a/p", "2"))),
+        ("https://a", "https://a/deep.xml", "sitemap", one(("https://a/r", "3"), ("https://a/q", "4"))),
+        ("https://a", "https://a/other.xml", "sitemap", one(("https://a/never", "1"))),
+        ("https://a", "https://a/llms.txt", "llms", "[The p](https://a/p)\n[New](https://a/s)"),
+        ("https://b", "https://b/robots.txt", "robots", None),
+    ]
+    df = spark.createDataFrame(files, "site string, url string, kind string, body string")
+    got = {(r["url"], r["source"], r["source_url"], r["lastmod"], r["title"]) for r in crawl.discover_urls(df).collect()}
+    assert got == {("https://a/p", "llms", "https://a/llms.txt", None, "The p"), ("https://a/s", "llms", "https://a/llms.txt", None, "New"), ("https://a/q", "sitemap", "https://a/deep.xml", "4", None), ("https://a/r", "sitemap", "https://a/deep.xml", "3", None)}
+    assert {r["url"] for r in crawl.discover_urls(df, 1).collect()} == {"https://a/p", "https://a/q", "https://a/s"}
+    assert crawl.discover_urls(df.limit(0)).count() == 0

@@ -7,8 +7,10 @@ where two bytes meet that no token holds side by side, as no merge can cross the
 aggregate() folds ranked merges over the array of its bytes, carrying the ranks of adjacent pairs along, so
 each step is one minimum and two lookups. Where the lowest pair occurs more than once and merging it can't
 make a pair of lower rank, all its occurrences merge in one step. Words of any length take this one way.
-The encoded words return to the documents through a dictionary in the Python workers if its bytes, which are
-added up first, are within DICTIONARY_BYTES, else through a join by word.
+The encoded words stay in the shared folder, where the Python workers read them: all of them if their bytes, which
+are added up first, are within DICTIONARY_BYTES, else those of one slice of the documents at a time, for which
+the words of each slice are joined with their ids. Nothing of either passes through the driver. Only if the
+folder can't be opened outside the JVM do the ids return by a join by word and another by row.
 
 Decoding looks each id up in a literal array of byte pieces and concatenates these.
 """
@@ -21,19 +23,23 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequern.session import bytes_of, settle, table
+from pagequern.session import bytes_of, scratch, settle, table
 
 TOKENIZER_DIR = os.environ.get("PAGEQUERN_TOKENIZERS", "/opt/tokenizers")
-#: The dictionary of encoded words goes to the driver and the workers only up to this size.
+#: A worker holds the dictionary of all encoded words only up to this size.
 DICTIONARY_BYTES = 64 << 20
+#: A slice is the documents whose row numbers differ in so many of the last bits only.
+SLICE_BITS = 14
 BUCKETS = 8192
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -128,8 +134,11 @@ def _uncrossed(letters: Column, path: str) -> Column:
 
 def fold_merges(word: Column, path: str) -> Column:
     """Ids of one word: the pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
-    ranks, settled_ = _piece_map(path), _settled_ranks(path)
+    # bound once: else the plan, and each copy and text of it in the driver, holds the ranks for every place of use
+    return _let(_piece_map(path), lambda ranks: _folded(word, path, ranks, _settled_ranks(path)))
 
+
+def _folded(word: Column, path: str, ranks: Column, settled_: Column) -> Column:
     def rank(piece: Column) -> Column:
         return F.coalesce(_look(ranks, piece), F.lit(_NONE))
 
@@ -181,17 +190,51 @@ def fold_merges(word: Column, path: str) -> Column:
     return _let(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda letters: F.flatten(F.transform(_uncrossed(letters, path), fold)))
 
 
-def _weave(dictionary):
-    """Puts the ids of encoded words in the places where a document's codes are NULL, a batch at a time."""
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _opens(path: str) -> bool:
+    """Whether what Spark wrote there is found without the JVM."""
+    try:
+        where, at = _opened(path)
+        return where.get_file_info(at).type == pafs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+@lru_cache(maxsize=1)
+def _held(path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """A folder of encoded words: their numbers, where the ids of each begin, and all ids."""
+    where, at = _opened(path)
+    found = pq.read_table(at, columns=["word", "ids"], filesystem=where)
+    lists = found.column("ids").combine_chunks()
+    starts = np.asarray(lists.offsets).astype(np.int64)
+    return {w: i for i, w in enumerate(found.column("word").to_pylist())}, starts - starts[0], lists.flatten().to_numpy()
+
+
+def _weave(path: str, sliced: bool):
+    """Puts the ids of encoded words in the places where a document's codes are NULL, a batch at a time; sliced:
+    path has a folder for each slice of the documents."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+        if not sliced:
+            yield path, batch
+            return
+        slices = np.asarray(batch.column("row")) >> SLICE_BITS
+        ends = [0, *(np.flatnonzero(np.diff(slices)) + 1), len(slices)]
+        for a, b in itertools.pairwise(ends):
+            if b > a:
+                yield f"{path}/slice={slices[a]}", batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, starts, flat = dictionary.value
-        number = {w: i for i, w in enumerate(words)}
-        for batch in batches:
+        for folder, batch in itertools.chain.from_iterable(map(parts, batches)):
             codes, unknown = batch.column("codes"), batch.column("unknown")
             values, offsets = codes.flatten(), np.asarray(codes.offsets) - codes.offsets[0].as_py()
             empty = np.asarray(values.is_null())
             coded = unknown.flatten().dictionary_encode()
+            number, starts, flat = _held(folder) if len(coded) else ({}, np.zeros(1, np.int64), np.array([], np.int32))
             known = np.array([number[w] for w in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)] if len(coded) else np.array([], np.int64)
             sizes = np.ones(len(values), np.int64)
             sizes[empty] = starts[known + 1] - starts[known]
@@ -225,17 +268,23 @@ def encode_corpus(docs: DataFrame, path: str | None = None, dictionary_bytes: in
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))
     coded = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.transform("w", lambda w: _look(_word_map(path), w)).alias("codes"))
-    coded = settle(coded.select("doc_id", "codes", F.filter("w", lambda _, i: F.get(F.col("codes"), i).isNull()).alias("unknown")))
+    # the row's number has the task's above the last 33 bits
+    coded = settle(coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "codes", F.filter("w", lambda _, i: F.get(F.col("codes"), i).isNull()).alias("unknown")))
     distinct = coded.select(F.explode(F.array_distinct("unknown")).alias("word")).groupBy("word").agg(F.lit(1).alias("one"))
-    encoded = settle(distinct.select("word", fold_merges(F.col("word"), path).alias("ids")))
-    if bytes_of(encoded) <= dictionary_bytes:
-        held = encoded.toArrow()
-        lists = held.column("ids").combine_chunks()
-        found = spark.sparkContext.broadcast((held.column("word").to_pylist(), np.asarray(lists.offsets).astype(np.int64), lists.flatten().to_numpy()))
-        return coded.mapInArrow(_weave(found), "doc_id bigint, ids array<int>")
-    # beyond: by word and back by row; a word of a third of all documents is split by salt
-    rows = coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "codes", "unknown")
-    rows = settle(rows)
+    kept = scratch(spark)
+    distinct.select("word", fold_merges(F.col("word"), path).alias("ids")).write.parquet(kept)
+    encoded = spark.read.schema("word string, ids array<int>").parquet(kept)
+    if _opens(kept):
+        if whole := bytes_of(encoded) <= dictionary_bytes:
+            folder = kept
+        else:
+            # a word is there once for each slice, so no word is hot
+            asked = coded.select(F.shiftright("row", SLICE_BITS).alias("slice"), F.explode(F.array_distinct("unknown")).alias("word")).distinct()
+            folder = scratch(spark)
+            asked.join(encoded.hint("merge"), "word").repartition("slice").write.partitionBy("slice").parquet(folder)
+        return coded.mapInArrow(_weave(folder, not whole), "doc_id bigint, ids array<int>")
+    # by word and back by row; a word of a third of all documents is split by salt
+    rows = coded
     asked = rows.select("row", F.explode(F.array_distinct("unknown")).alias("word")).withColumn("salt", F.pmod("row", F.lit(16)))
     copies = encoded.select("word", "ids", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(16)])).alias("salt"))
     back = asked.join(copies, ["word", "salt"]).groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("known"))

@@ -324,6 +324,35 @@ def test_tokens(spark):
     assert tokenize.encode_corpus(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("way", ["whole", "sliced", "joined"])
+def test_encoded_words_stay_off_the_driver(spark, monkeypatch, way):
+    """Encoded words are neither collected nor broadcast by the driver, for slices of two documents as well."""
+    tiktoken = pytest.importorskip("tiktoken")
+    own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokenize.load_ranks(tokenize.byte_bpe_50k()), special_tokens={})
+    words = ["".join(random.Random(i // 2).choice("abcdeghijklmnoprstuvz") for _ in range(12)) for i in range(61)] + ["", "the", None]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").repartition(3)
+
+    def refuse(*_, **__):
+        raise AssertionError("the dictionary went to the driver")
+
+    monkeypatch.setattr(tokenize, "SLICE_BITS", 1, raising=False)
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    if way == "joined":
+        monkeypatch.setattr(tokenize, "_opens", lambda path: False, raising=False)
+    got = tokenize.encode_corpus(docs, dictionary_bytes=10**9 if way == "whole" else 0).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(words)))
+    assert all(list(r["ids"]) == own.encode_ordinary(words[r["doc_id"]] or "") for r in got)
+
+
+def test_fold_holds_the_ranks_once(spark):
+    """Copies of the ranks in the plan are memory of the driver."""
+    path = tokenize.byte_bpe_50k()
+    folded = spark.range(1).select(tokenize.fold_merges(F.col("id").cast("string"), path).alias("ids"))
+    text = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("surprisingly") == sum(b"surprisingly" in token for token in tokenize.load_ranks(path))
+
+
 def test_fold_is_the_tokenizer(spark):
     """Short random words, many of which repeat pairs, against the library's merges."""
     tiktoken = pytest.importorskip("tiktoken")
